@@ -34,7 +34,7 @@ FACTORS = 4
 BEGINNINGS = (4, 5, 6)
 #: Sample rows that a term must occur in.
 LEAST_ROWS = 4
-EPOCHS, BATCH, RATE, L1, GROUP_L1 = 8, 256, 0.1, 1e-3, 3e-3
+EPOCHS, BATCH, RATE, L1, GROUP_L1 = 12, 256, 0.1, 1e-3, 6e-3
 SEED = 3
 _WORD = re.compile(r"[^\W_]+")
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
