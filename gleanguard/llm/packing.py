@@ -45,16 +45,20 @@ def sentence_ends(tokenizer) -> np.ndarray:
 def boundaries(ids: np.ndarray, doc_ends: np.ndarray, is_end: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which a window may end, 0 first, and the penalty of each."""
     inside = ids < len(is_end)
-    stops = np.nonzero(is_end[np.where(inside, ids, 0)] & inside)[0] + 1
-    places = np.unique(np.concatenate(([0], stops, doc_ends)))
+    allowed = np.zeros(len(ids) + 1, bool)
+    allowed[1:] = is_end[np.where(inside, ids, 0)] & inside
+    allowed[0] = allowed[doc_ends] = True
+    places = np.nonzero(allowed)[0]
     gaps, step = np.diff(places), max(1, window // 16)
     wide = np.nonzero(gaps > max(1, window // 8))[0]
     inner = np.concatenate([np.arange(places[k] + step, places[k + 1], step) for k in wide]) if len(wide) else np.zeros(0, np.int64)
-    allowed = np.union1d(places, inner)
-    penalty = np.full(len(allowed), SENTENCE_PENALTY, np.int64)
-    penalty[np.searchsorted(allowed, inner)] = INNER_PENALTY
-    penalty[np.searchsorted(allowed, doc_ends)] = 0
-    return allowed, penalty
+    if len(inner):
+        allowed[inner] = True
+        places = np.nonzero(allowed)[0]
+    penalty = np.full(len(places), SENTENCE_PENALTY, np.int64)
+    penalty[np.searchsorted(places, inner)] = INNER_PENALTY
+    penalty[np.searchsorted(places, doc_ends)] = 0
+    return places, penalty
 
 
 def best_cuts(places: list[int], penalty: list[int], window: int) -> list[int]:

@@ -3,7 +3,8 @@
 A text falls into pieces at places where no token and no pre-token can reach across: for the vocabulary
 with word ends at each space and line feed (white space is dropped there), for the byte-level one before
 each space that follows other than white space. A worker encodes each different piece once while it
-remembers it; of the table of pieces, which has a fixed bound, what was not met again since it was half full goes.
+remembers it. The table of pieces has a fixed bound: when it is half full, a new one begins with those pieces
+that the last one took over from its predecessor, and takes over what it meets of the last one.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ class Pieces:
         self.spaced, self.remembered = spaced, remembered
         self.known: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.met: dict[str, object] = {}
 
     def worth(self, pieces: list[str]) -> list:
         raise NotImplementedError
@@ -55,7 +57,7 @@ class Pieces:
     def values(self, texts: list[str]) -> list[list]:
         """Of each text, its pieces' values in order."""
         if len(self.known) > self.remembered:
-            self.old, self.known = self.known, {}
+            self.old, self.known, self.met = self.known, self.met, {}
         get, spaced = self.known.get, self.spaced
         out, firsts, spots = [], [], []
         for text in texts:
@@ -73,7 +75,7 @@ class Pieces:
             old, new = self.old.get, {}
             for _, _, piece in spots:
                 if piece not in new and (v := old(piece)) is not None:
-                    self.known[piece] = v
+                    self.known[piece] = self.met[piece] = v
                 else:
                     new[piece] = None
             new = list(new)
