@@ -58,6 +58,13 @@ def _class(pattern: str, at: int) -> tuple[str, int]:
 
 def to_java(pattern: str) -> str:
     """The same matches, leftmost-first and by RE2's ASCII classes, in java.util.regex syntax."""
+    plain = re.sub(r"\\[pP](?:\{\^?\w+\}|\w)|\\[zC]", "x", re.sub(r"\[:\^?\w+:\]", "x", pattern))
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            re.compile(plain)
+    except (re.error, OverflowError, RecursionError) as e:
+        raise Unsupported(str(e)) from None
     out: list[str] = []
     k, multi, dot = 0, False, False
     while k < len(pattern):

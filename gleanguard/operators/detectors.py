@@ -18,9 +18,10 @@ _KNOWN: dict[str, Detector] = {
     "symlink": lambda docs, rules, limits: metadata.symlinks(docs),
     "entropy": lambda docs, rules, limits: entropy.detect(docs),
     "base64": lambda docs, rules, limits: encoded.detect(docs, rules, limits),
-    "database": lambda docs, rules, limits: patterns.detect(docs, R.database(), limits, None),
-    "oauth": lambda docs, rules, limits: patterns.detect(docs, R.oauth(), limits, None),
+    "database": lambda docs, rules, limits: patterns.detect(docs, R.database(), limits),
+    "oauth": lambda docs, rules, limits: patterns.detect(docs, R.oauth(), limits),
 }
+_OWN = dict(_KNOWN)
 ALL = tuple(_KNOWN)
 
 
@@ -36,7 +37,11 @@ def detector(name: str) -> Detector | None:
 def run(docs: DataFrame, rules: Sequence[R.Rule], names: Sequence[str] = ALL, limits: R.Limits | None = None) -> DataFrame:
     """All findings of the named detectors; unknown names are passed over."""
     limits = limits or R.Limits()
-    found = [d(docs, rules, limits) for n in names if (d := detector(n))]
+    own = [n for n in ("regex", "database", "oauth") if n in names and _KNOWN[n] is _OWN[n]]
+    found = [d(docs, rules, limits) for n in names if n not in own and (d := detector(n))]
+    if own:  # pattern detectors read the documents once
+        every = [r for n in own for r in (rules if n == "regex" else R.database() if n == "database" else R.oauth())]
+        found.append(patterns.detect(docs, every, limits))
     if not found:
         return metadata.symlinks(docs.limit(0))
     return reduce(lambda a, b: a.unionByName(b), found)

@@ -35,7 +35,7 @@ def detect(docs: DataFrame, rules: Sequence[Rule], limits: Limits | None = None)
     """Findings in decoded text, lines and columns counted there; one level deep, rule files' patterns only."""
     decoded = candidates(docs).select(
         F.concat("path", F.lit(SUFFIX), F.lit("\0"), F.col("run_ord").cast("string")).alias("path"),
-        F.decode("raw", "UTF-8").alias("content"), classify.has_nul(F.col("raw")).alias("is_binary"),
+        F.make_valid_utf8(F.col("raw").cast("string")).alias("content"), classify.has_nul(F.col("raw")).alias("is_binary"),
     )
     found = patterns.detect(decoded, [r for r in rules if r.detector == "regex"], limits)
     run = F.substring_index("file", "\0", -1).cast("int")

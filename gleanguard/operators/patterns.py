@@ -8,6 +8,7 @@ patterns (a row for each pattern of the rules, so its size is bounded and it is
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
@@ -26,8 +27,18 @@ DETECTOR_ORDER = {"regex": 0, "database": 5, "oauth": 6}
 
 
 def usable(rules: Sequence[Rule], limits: Limits | None = None) -> list[tuple[int, Rule, int, Pattern]]:
-    """(rule's place, rule, pattern's place, pattern) of all that can match and be kept."""
-    return [(r, rule, p, pattern) for r, rule in enumerate(rules) for p, pattern in enumerate(rule.patterns) if not pattern.problem() and (limits or Limits()).keep(rule, pattern)]
+    """(rule's place in its detector, rule, pattern's place, pattern) of all that can match and be kept."""
+    out, places = [], Counter()
+    for rule in rules:
+        r = places[rule.detector]
+        places[rule.detector] += 1
+        out += [(r, rule, p, pattern) for p, pattern in enumerate(rule.patterns) if not pattern.problem() and (limits or Limits()).keep(rule, pattern)]
+    return out
+
+
+def _seen(by_rule_file: bool) -> Column:
+    """What a detector sees of a document."""
+    return F.when(F.length("content") > WINDOW, F.expr(f"substring(content, 1, {WINDOW})")).otherwise(F.col("content")) if by_rule_file else F.col("content")
 
 
 def _guard(regex: str, content: Column, low: Column) -> Column | None:
@@ -50,11 +61,11 @@ def _allowed(rule: Rule, path: Column) -> Column | None:
 
 def matching_patterns(docs: DataFrame, patterns: list[tuple[int, Rule, int, Pattern]]) -> DataFrame:
     """docs with `hits`, the numbers of the patterns (by place in the list) that match; `low` is the folded content."""
-    content, low, path = F.col("content"), F.col("low"), F.col("path")
+    low, path = F.col("low"), F.col("path")
     tests = []
     for n, (_, rule, _, pattern) in enumerate(patterns):
-        test = content.rlike(re2.to_java(pattern.regex))
-        for condition in (_guard(pattern.regex, content, low), _allowed(rule, path)):
+        test = _seen(rule.detector == "regex").rlike(re2.to_java(pattern.regex))
+        for condition in (_guard(pattern.regex, F.col("content"), low), _allowed(rule, path)):
             if condition is not None:
                 test = F.when(condition, test)  # an AND has no fixed order
         tests.append(F.when(test, F.lit(n)))
@@ -94,18 +105,16 @@ def matches(hit: DataFrame) -> DataFrame:
     return placed.withColumn("prefix", F.expr("substring(content, 1, _start)")).drop("_whole", "_value", "_before", "_gap", "_step", "_match", "_start")
 
 
-def detect(docs: DataFrame, rules: Sequence[Rule], limits: Limits | None = None, window: int | None = WINDOW) -> DataFrame:
+def detect(docs: DataFrame, rules: Sequence[Rule], limits: Limits | None = None) -> DataFrame:
     """Findings of the rules' patterns in (path, content, is_binary); binary documents give none.
 
-    A column is counted in bytes from the line's start for rule files; for the other two detectors it is one and the
+    Rules of all three detectors may come together. A column is counted in bytes from the line's start for rule files; for the other two detectors it is one and the
     byte at which the line starts.
     """
     patterns = usable(rules, limits)
     plain = docs.where(~F.col("is_binary") & F.col("content").isNotNull()).select("path", "content")
-    if window and all(r.detector == "regex" for r in rules):
-        plain = plain.withColumn("content", F.expr(f"substring(content, 1, {window})"))
     hits = matching_patterns(plain, patterns).select("path", "content", F.explode("hits").alias("number"))
-    met = hits.join(F.broadcast(pattern_table(docs, patterns)), "number")
+    met = hits.join(F.broadcast(pattern_table(docs, patterns)), "number").withColumn("content", F.when(F.col("capped"), _seen(True)).otherwise(F.col("content")))
     found = matches(met)
     prefix, all_lines = F.col("prefix"), F.col("_lines")
     placed = found.withColumns({"line": text.line_number(prefix), "_lines": text.lines(F.col("content"))})
