@@ -24,8 +24,8 @@ from gleanguard.llm.common import batch_of, bounded_batches, documents, rows_of,
 K, S = 16, 8
 SKETCH = 64
 _B = np.uint64(0x9E3779B97F4A7C15)
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("kind", pa.string()), ("part", pa.int64()), ("text", pa.string())])
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("kind", pa.string()), ("part", pa.int64()), ("text", pa.string())])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -77,8 +77,9 @@ def sketch(text: str, size: int = SKETCH) -> np.ndarray:
     return np.unique(hashes)[:size]
 
 
-def printed(found: np.ndarray) -> str:
-    return found.astype(">u4").tobytes().hex()
+def packed(found: np.ndarray) -> bytes:
+    """A sketch as its hashes' bytes; printed in hexadecimal it is the fingerprint."""
+    return found.astype(">u4").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
@@ -102,7 +103,7 @@ def edited_text(text: str, following: str) -> str:
 def _row(doc_id, text: str, own: np.ndarray, following: str, next_sketch: np.ndarray) -> tuple:
     edited = edited_text(text, following)
     other = sketch(edited)
-    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), printed(own), printed(other), likeness(own, other), likeness(own, next_sketch)
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), packed(own), packed(other), likeness(own, other), likeness(own, next_sketch)
 
 
 def fingerprint_documents(df: DataFrame) -> DataFrame:
@@ -150,7 +151,8 @@ def fingerprint_documents(df: DataFrame) -> DataFrame:
     first = made.where("kind = 'first'").select(F.col("part").alias("after"), F.col("text").alias("following"))
     pairs = made.where("kind = 'last'").select("doc_id", "text", "part").join(follows, "part").join(first, "after")
     ends = pairs.select("doc_id", "text", "following").mapInArrow(meet, _RESULT)
-    return made.where("kind = 'done'").drop("kind", "part", "text").unionByName(ends)
+    both = made.where("kind = 'done'").drop("kind", "part", "text").unionByName(ends)
+    return both.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
