@@ -35,6 +35,8 @@ BEGINNINGS = (4, 5, 6)
 #: Sample rows that a term must occur in.
 LEAST_ROWS = 4
 EPOCHS, BATCH, RATE, L1, GROUP_L1 = 12, 256, 0.1, 1e-3, 6e-3
+#: A small sample is gone over more often, until so many batches were learned from.
+LEAST_BATCHES = 600
 SEED = 3
 _WORD = re.compile(r"[^\W_]+")
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -57,7 +59,7 @@ class Terms(Pieces):
         return out
 
     def places(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.unique(np.frombuffer(b"".join(v), "<u4")) for v in self.values(texts)]
+        return [np.unique(np.frombuffer(v, "<u4")) for v in self.joined(texts)]
 
 
 def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -81,7 +83,7 @@ class FactorizationMachine:
         self.bias, self.at = -20.0, np.zeros(0, np.int64)
         self.w, self.v = np.zeros(0, np.float32), np.zeros((0, factors), np.float32)
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> FactorizationMachine:
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, group_l1: float = GROUP_L1) -> FactorizationMachine:
         if not len(rows):
             return self
         rng, factors = np.random.default_rng(seed), self.v.shape[1]
@@ -96,7 +98,7 @@ class FactorizationMachine:
         share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
         bias = np.log(share / (1 - share))
         sizes = np.array([len(r) for r in rows])
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_BATCHES // -(-len(rows) // BATCH)))):
             order = rng.permutation(len(rows))
             for k in range(0, len(order), BATCH):
                 batch = order[k : k + BATCH]
@@ -121,7 +123,7 @@ class FactorizationMachine:
                 rate = RATE / np.sqrt(gv[used])
                 moved = v[used] - rate[:, None] * gradv
                 norm = np.sqrt((moved * moved).sum(1)) + 1e-12
-                v[used] = moved * np.maximum(1 - rate * GROUP_L1 / norm, 0)[:, None]
+                v[used] = moved * np.maximum(1 - rate * group_l1 / norm, 0)[:, None]
         kept = (w != 0) | (v != 0).any(1)
         spare = self.__class__(factors)
         spare.bias, spare.at, spare.w, spare.v = 0.0, self.at[kept], w[kept], v[kept]
