@@ -247,7 +247,8 @@ def covered(size: int, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndar
 
 def _with_spans(texts: DataFrame, work, schema: str) -> DataFrame:
     """work(rows, spans of each row) over the scan, the marks beside it."""
-    marks = _write_side(_marks(texts), "marks")
+    # other columns do not change which rows a task of the scan reads
+    marks = _write_side(_marks(texts.select("doc_id", "text")), "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = _side_table(marks, ["place", "start", "windows"])
