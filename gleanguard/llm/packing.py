@@ -112,7 +112,9 @@ class Packer:
         places, penalty = boundaries(ids, ends, self.is_end, self.window)
         cuts = places[best_cuts(places.tolist(), penalty.tolist(), self.window)]
         kept = len(cuts) if last else len(cuts) - 1
-        stop = int(cuts[kept - 1]) if kept else 0
+        if not kept:
+            return []
+        stop = int(cuts[kept - 1])
         bounds = np.union1d(cuts[:kept], ends[ends <= stop])
         starts = np.concatenate(([0], bounds[:-1])).astype(np.int64)
         doc = np.searchsorted(ends, starts, "right")
