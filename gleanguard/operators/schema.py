@@ -9,10 +9,12 @@ from pyspark.sql import types as T
 #: path and content (text) are enough; what is missing is filled with a regular text file's values.
 DOCUMENT_DEFAULTS = {"is_binary": "boolean", "mode": "int", "is_symlink": "boolean", "symlink_target": "string"}
 
-FINDING = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "strings": T.ArrayType(T.StringType())}
+_COLUMNS = (
     "type string, severity int, confidence double, file string, line int, column int, value string, reason string, rule_id string, "
-    "tags array<string>, action string, context string, source_line string, detector_ord int, rule_ord int, pattern_ord int, match_ord int"
+    "tags strings, action string, context string, source_line string, detector_ord int, rule_ord int, pattern_ord int, match_ord int"
 )
+FINDING = T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in _COLUMNS.split(", "))])
 #: Findings in this order are in the order of files, detectors, rules, patterns and places.
 ORDER = ("file", "detector_ord", "rule_ord", "pattern_ord", "match_ord")
 

@@ -7,8 +7,10 @@ import stat
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanguard.functions import classify
 from gleanguard.sources.globs import ignore_rules, ignored, ignorer
@@ -96,8 +98,9 @@ def from_bytes(df: DataFrame) -> DataFrame:
 def read_directory(spark: SparkSession, root: str, walk: Walk | None = None, with_metadata: bool = False) -> DataFrame:
     """Documents of a folder, paths relative to it. A root whose own name is skipped has none.
 
-    with_metadata lists a folder that this machine sees, with mode and symbolic links, on the driver; the contents
-    are read by the executors in either case.
+    Names and sizes are listed on the driver and filtered; executors read what is left. Spark's own file listing is not
+    used, as it passes over names that begin with a dot, such as .env. with_metadata takes a folder that this machine
+    sees, with mode and symbolic links.
     """
     walk = walk or Walk()
     walk = Walk(**{**walk.__dict__, "ignore": (*walk.ignore, *(read_ignore_file(os.path.join(root, IGNORE_FILE)) if "://" not in root else ()))})
@@ -106,11 +109,11 @@ def read_directory(spark: SparkSession, root: str, walk: Walk | None = None, wit
         return from_bytes(spark.createDataFrame([], "path string, content binary"))
     if with_metadata:
         return _with_metadata(spark, base, walk)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*").load(base)
-    full = F.regexp_replace("path", r"\A[a-z0-9]+:/+", "/")
-    prefix = "/" + base.split("://", 1)[-1].lstrip("/") if "://" in base else os.path.abspath(base)
-    listing = files.select(F.expr(f"substring(regexp_replace(path, '^[a-z0-9]+:/+', '/'), {len(prefix) + 2})").alias("path"), "length", "content", full.alias("full_path"))
-    return from_bytes(walked(listing, walk).drop("length", "full_path"))
+    fs, folder = pafs.FileSystem.from_uri(base if "://" in base else "file://" + os.path.abspath(base))
+    found = fs.get_file_info(pafs.FileSelector(folder, recursive=True))
+    rows = [(f.path[len(folder) :].lstrip("/"), f.size) for f in found if f.is_file]
+    listing = walked(spark.createDataFrame(rows, "path string, length long"), walk)
+    return from_bytes(_read_listed(_dealt(listing), base if "://" in base else "file://" + os.path.abspath(base)).drop("length"))
 
 
 def is_safe(root: str, target: str) -> bool:
@@ -160,21 +163,28 @@ def _with_metadata(spark: SparkSession, root: str, walk: Walk) -> DataFrame:
     root = os.path.abspath(root)
     rows = [(p, *metadata(os.path.join(root, p), root)) for p in _listed(root, walk)]
     listing = spark.createDataFrame(rows, "path string, length long, mode int, is_symlink boolean, symlink_target string")
-    return from_bytes(_read_listed(walked(listing, Walk(**{**walk.__dict__, "ignore": ()})), root))
+    return from_bytes(_read_listed(_dealt(walked(listing, Walk(**{**walk.__dict__, "ignore": ()}))), root))
+
+
+def _dealt(listing: DataFrame) -> DataFrame:
+    """Rows of a listing spread over all tasks: reading files costs far more than moving their names."""
+    return listing.repartition(max(1, listing.sparkSession.sparkContext.defaultParallelism))
 
 
 def _read_listed(listing: DataFrame, root: str) -> DataFrame:
-    """The listing and each file's bytes; what cannot be read, or is marked so, is empty."""
-    schema = listing.schema.add("content", "binary")
+    """The listing and each file's bytes below root (a folder or URI); what cannot be read, or is marked so, is empty."""
+    schema = T.StructType([*listing.schema.fields, T.StructField("content", T.BinaryType())])
+    uri = root if "://" in root else "file://" + os.path.abspath(root)
 
     def run(batches):
+        fs, folder = pafs.FileSystem.from_uri(uri)
         for pdf in batches:
             data = []
             for path, target in zip(pdf["path"], pdf["symlink_target"] if "symlink_target" in pdf else [""] * len(pdf), strict=True):
                 try:
                     if target and target.endswith(")"):
                         raise OSError(target)
-                    with open(os.path.join(root, path), "rb") as f:
+                    with fs.open_input_stream(f"{folder}/{path}") as f:
                         data.append(f.read())
                 except OSError:
                     data.append(b"")
