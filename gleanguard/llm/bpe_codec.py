@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of
+from gleanguard.llm.merging import MergeTable
 from gleanguard.llm.tokens import Pieces, once, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -44,35 +45,41 @@ class ForcedBoundaryCodec(Pieces):
             raise ValueError("forced boundaries need a byte-level vocabulary without a normaliser")
         to_byte, model = byte_characters(), spec["model"]
         token_bytes = {bytes(to_byte[c] for c in t): i for t, i in model["vocab"].items()}
-        self.ids = token_bytes
         self.specials = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        self.ranks = {}
-        for r, m in enumerate(model["merges"]):
-            a, b = (bytes(to_byte[c] for c in x) for x in (m if isinstance(m, list) else m.split(" ")))
-            self.ranks[a, b] = r
+        pairs = [[bytes(to_byte[c] for c in x) for x in (m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        self.table = MergeTable(*(np.array([token_bytes[p] for p in side], np.int64) for side in zip(*((a, b, a + b) for a, b in pairs), strict=True)))
+        self.bytes = np.array([token_bytes[bytes([b])] for b in range(256)], np.int64)
         inside = np.zeros((256, 256), bool)
         for t in token_bytes:
             raw = np.frombuffer(t, np.uint8)
             inside[raw[:-1], raw[1:]] = True
         self.inside = inside
+        self.stops = [c for c in ",." if not inside[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), ord(c)].any()]
         self.tokens = [b""] * (max([*token_bytes.values(), *self.specials.values()]) + 1)
         for t, i in [*token_bytes.items(), *((s.encode(), i) for s, i in self.specials.items())]:
             self.tokens[i] = t
-        self.words: dict[bytes, list[int]] = {}
+        self.words: dict[bytes, bytes] = {}
         if any(re.search(rb"[^\s\x80-\xff] ", t) or re.search(r"\S ", t.decode("utf-8", "ignore")) for t in token_bytes):
             raise ValueError("this vocabulary has tokens that reach across a space")
         super().__init__(spaced=True)
 
+    def cuts(self, texts: list[bytes]) -> np.ndarray:
+        """Of each text, whether a pair of its bytes lies inside no token."""
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        free = ~self.inside[raw[:-1], raw[1:]]
+        free[ends[(ends > 0) & (ends < len(raw))] - 1] = False
+        at = np.nonzero(free)[0]
+        out = np.zeros(len(texts), bool)
+        out[np.searchsorted(ends, at, "right")] = True
+        return out
+
     def fragments(self, text: str) -> list[str]:
         """The text cut at all forced boundaries."""
-        raw = text.encode()
-        pairs = np.frombuffer(raw, np.uint8)
-        cuts = np.nonzero(~self.inside[pairs[:-1], pairs[1:]])[0] + 1
-        if not len(cuts):
-            return [text]
+        pairs = np.frombuffer(text.encode(), np.uint8)
+        cuts = set((np.nonzero(~self.inside[pairs[:-1], pairs[1:]])[0] + 1).tolist())
         at, out, begun = 0, [], 0
-        cuts = set(cuts.tolist())
         for k, c in enumerate(text):
             if at in cuts and c != "'" and not text[k - 1].isspace():
                 out.append(text[begun:k])
@@ -80,54 +87,45 @@ class ForcedBoundaryCodec(Pieces):
             at += len(c.encode())
         return [*out, text[begun:]]
 
-    def merge(self, word: bytes) -> list[int]:
-        if (i := self.ids.get(word)) is not None and len(word) == 1:
-            return [i]
-        parts, ranks = [word[k : k + 1] for k in range(len(word))], self.ranks
-        while len(parts) > 1:
-            least, best = min((ranks.get(p, 1 << 40), p) for p in zip(parts, parts[1:], strict=False))
-            if least == 1 << 40:
-                break
-            out, k, n = [], 0, len(parts)
-            while k < n:
-                if k + 1 < n and parts[k] == best[0] and parts[k + 1] == best[1]:
-                    out.append(best[0] + best[1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return [self.ids[p] for p in parts]
-
-    def fragment_ids(self, fragment: str) -> list[int]:
-        out = []
-        for m in _PRETOKENS.findall(fragment):
-            word = m.encode()
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = self.merge(word)
-            out += ids
-        return out
+    def _pretokens(self, fragment: str) -> list[bytes]:
+        if fragment[1:].isalpha() and (fragment[0] == " " or fragment[0].isalpha()):
+            return [fragment.encode()]
+        return [m.encode() for m in _PRETOKENS.findall(fragment)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of pre-tokens that are not known yet, all of them merged together."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        symbols, sizes = self.table.merged(self.bytes[raw], np.array(list(map(len, words)), np.int64))
+        ends = (np.cumsum(sizes) * 4).tolist()
+        data = symbols.astype("<u4").tobytes()
+        self.words.update(zip(words, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
     def worth(self, pieces: list[str]) -> list[bytes]:
         if len(self.words) > self.remembered:
             self.words.clear()
-        out = []
-        for piece in pieces:
-            ids: list[int] = []
-            parts = self.special.split(piece) if self.special else [piece]
-            for k, part in enumerate(parts):
-                if k % 2:
-                    ids.append(self.specials[part])
-                else:
-                    for fragment in self.fragments(part):
-                        ids += self.fragment_ids(fragment)
-            out.append(np.array(ids, "<u4").tobytes())
-        return out
+        needs: list[list] = []  # of each piece, pre-tokens (bytes) and special tokens (numbers)
+        for piece, cut in zip(pieces, self.cuts([p.encode() for p in pieces]).tolist(), strict=True):
+            if any(x in piece for x in self.specials):
+                own: list = []
+                for k, part in enumerate(self.special.split(piece)):
+                    own += [self.specials[part]] if k % 2 else [w for f in self.fragments(part) for w in self._pretokens(f)]
+                needs.append(own)
+            elif not cut:
+                needs.append(self._pretokens(piece))
+            elif piece[-1:] in self.stops and piece[:-1].isascii() and piece[1:-1].isalpha():
+                # letters and a stop, which no token joins: the boundary before the stop is forced
+                needs.append([w for f in self.fragments(piece[:-1]) for w in self._pretokens(f)] + [piece[-1].encode()])
+            else:
+                needs.append([w for f in self.fragments(piece) for w in self._pretokens(f)])
+        known = self.words
+        new = dict.fromkeys(w for own in needs for w in own if isinstance(w, bytes) and w not in known)
+        if new:
+            self._learn(list(new))
+        return [b"".join([known[w] if isinstance(w, bytes) else np.array([w], "<u4").tobytes() for w in own]) for own in needs]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        return [b"".join(v) for v in self.values(texts)]
+        return self.joined(texts)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
