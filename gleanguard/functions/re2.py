@@ -8,6 +8,9 @@ import warnings
 _SPACE = r"\t\n\f\r "
 _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 _NO_EDGE = "(?:(?<=[A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<![A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: An edge before what can only be a letter, digit or underscore is the absence of one before it.
+_BEFORE_WORD = "(?<![A-Za-z0-9_])"
+_WORD_NEXT = re.compile(r"(?:\((?:\?:)?)*(?:[A-Za-z0-9_](?![*?{|])|\[(?:[A-Za-z0-9_](?:-[A-Za-z0-9])?)+\](?![*?]|\{0))")
 #: Shapes of patterns that are refused, and the deepest nesting of brackets.
 _DANGEROUS = (
     r"\(\s*[^)]+\s*\+\s*\)\s*\+", r"\(\s*[^)]+\s*\*\s*\)\s*\*", r"\(\s*[^)]+\s*\+\s*\)\s*\{", r"\(\s*[^)]+\s*\*\s*\)\s*\+",
@@ -73,7 +76,9 @@ def to_java(pattern: str) -> str:
             n = pattern[k + 1 : k + 2]
             if n in "123456789" or n in ("C", "G", "Z", "k") or not n:
                 raise Unsupported(f"\\{n}")
-            out.append({"b": _EDGE, "B": _NO_EDGE, "s": f"[{_SPACE}]", "S": f"[^{_SPACE}]"}.get(n, c + n))
+            if n == "b" and _WORD_NEXT.match(pattern, k + 2):
+                n = "b<"
+            out.append({"b<": _BEFORE_WORD, "b": _EDGE, "B": _NO_EDGE, "s": f"[{_SPACE}]", "S": f"[^{_SPACE}]"}.get(n, c + n))
             k += 2
         elif c == "[":
             text, k = _class(pattern, k)
@@ -148,18 +153,57 @@ def groups(pattern: str) -> int:
     return len(re.findall(r"(?<!\\)\((?!\?(?!P?<[A-Za-z]))", re.sub(r"\\.|\[(?:\\.|[^\]])*\]", "_", pattern)))
 
 
-def required(pattern: str, shortest: int = 3) -> tuple[list[str], bool] | None:
-    """(literals, case-folded): every match holds one of them. None where no useful ones are found.
-
-    Folded literals are in lower case, to be sought in text made lower with the long s as s; Kelvin's sign is a k there.
-    """
+def _tree(pattern: str):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        parser = re._parser if hasattr(re, "_parser") else __import__("sre_parse")
         try:
-            tree = parser.parse(pattern)
+            return re._parser.parse(pattern)
         except (re.error, OverflowError):
             return None
+
+
+def longest_run(pattern: str, letters: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") -> int:
+    """So many characters in a row out of these letters every match has at least."""
+    tree = _tree(pattern)
+    if tree is None or tree.state.flags & re.IGNORECASE:
+        return 0
+    allowed = set(map(ord, letters))
+
+    def inside(op, arg) -> bool:
+        if str(op) == "LITERAL":
+            return arg in allowed
+        if str(op) != "IN":
+            return False
+        return all((str(o) == "LITERAL" and a in allowed) or (str(o) == "RANGE" and set(range(a[0], a[1] + 1)) <= allowed) for o, a in arg)
+
+    def of(items) -> int:
+        best = run = 0
+        for op, arg in items:
+            name = str(op)
+            if inside(op, arg):
+                run += 1
+            elif name == "MAX_REPEAT" and len(arg[2]) == 1 and inside(*arg[2][0]):
+                run += arg[0]
+            else:
+                run = 0
+                if name == "SUBPATTERN":
+                    best = max(best, of(arg[-1]))
+                elif name == "BRANCH":
+                    best = max(best, min(of(p) for p in arg[1]))
+            best = max(best, run)
+        return best
+
+    return of(tree)
+
+
+def required(pattern: str, shortest: int = 3) -> tuple[list[str], bool] | None:
+    """(literals, case-folded): every match holds one of them. None where no useful ones are found.
+
+    Folded literals are in lower case, to be sought in text made lower with the long s as s; Kelvin's sign is a k there.
+    """
+    tree = _tree(pattern)
+    if tree is None:
+        return None
     folded = bool(tree.state.flags & re.IGNORECASE)
 
     def better(a: list[str] | None, b: list[str] | None) -> list[str] | None:
@@ -168,18 +212,20 @@ def required(pattern: str, shortest: int = 3) -> tuple[list[str], bool] | None:
         return max(a, b, key=lambda x: (min(map(len, x)), -len(x)))
 
     def of(items) -> list[str] | None:
-        best, run = None, ""
+        best, run = None, []
         for op, arg in [*items, (None, None)]:
             if str(op) == "LITERAL":
-                run += chr(arg)
+                run.append((op, arg))
                 continue
-            if run:
-                best, run = better(best, [run]), ""
+            before, run = run, []
+            if before:
+                best = better(best, ["".join(chr(c) for _, c in before)])
             name = str(op)
             if name == "SUBPATTERN":
-                best = better(best, of(arg[-1]))
-            elif name == "BRANCH":
-                parts = [of(p) for p in arg[1]]
+                inner = list(arg[-1])
+                best = better(best, of([*before, *inner] if before and inner and str(inner[0][0]) in ("LITERAL", "BRANCH") else inner))
+            elif name == "BRANCH":  # the parser takes what alternatives begin with alike out of them
+                parts = [of([*before, *p]) for p in arg[1]]
                 if all(parts):
                     best = better(best, [x for p in parts for x in p])
             elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
@@ -187,6 +233,6 @@ def required(pattern: str, shortest: int = 3) -> tuple[list[str], bool] | None:
         return best
 
     found = of(tree)
-    if not found or min(map(len, found)) < shortest:
+    if not found or min(map(len, found)) < (shortest if folded else min(shortest, 2)):
         return None
     return ([x.lower() for x in found], True) if folded else (found, False)

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: white space that trimming takes off, as a class.
 _BLANK = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df and the columns, each computed once for a row: what is built on them refers to them and does not repeat them,
+    as it would after the optimizer had put two projections together."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{_BLANK}+|{_BLANK}+\z", "")
 

@@ -23,6 +23,8 @@ from gleanguard.sources.globs import name_matches
 #: Characters of a document that rule files see, and matches of one pattern in a document.
 WINDOW, MOST_MATCHES = 10 * 1024 * 1024, 10_000
 _TABLE = "number int, rule_ord int, pattern_ord int, detector_ord int, regex string, shift int, grp int, confidence double, severity int, rule_id string, type string, reason string, tags array<string>, line_start boolean, capped boolean"
+#: Characters of a run that documents are looked through for once, for all patterns that need one as long.
+LONG_RUN = 32
 DETECTOR_ORDER = {"regex": 0, "database": 5, "oauth": 6}
 
 
@@ -43,6 +45,8 @@ def _seen(by_rule_file: bool) -> Column:
 
 def _guard(regex: str, content: Column, low: Column) -> Column | None:
     found = re2.required(regex)
+    if re2.longest_run(regex) >= LONG_RUN:
+        return F.col("long_run")
     if not found:
         return None
     literals, folded = found
@@ -69,8 +73,10 @@ def matching_patterns(docs: DataFrame, patterns: list[tuple[int, Rule, int, Patt
             if condition is not None:
                 test = F.when(condition, test)  # an AND has no fixed order
         tests.append(F.when(test, F.lit(n)))
-    folded = docs.withColumn("low", F.replace(F.lower("content"), F.lit("ſ"), F.lit("s")))
-    return folded.withColumn("hits", F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")).drop("low")
+    # once for all patterns; predicates on hits must not be pushed below, where they would repeat all of this
+    folded = text.computed(docs, low=F.replace(F.lower("content"), F.lit("ſ"), F.lit("s")), long_run=F.col("content").rlike(f"[A-Za-z0-9_-]{{{LONG_RUN}}}"))
+    hits = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
+    return text.computed(folded, hits=hits).drop("low", "long_run")
 
 
 def pattern_table(docs: DataFrame, patterns: list[tuple[int, Rule, int, Pattern]]) -> DataFrame:
@@ -90,19 +96,17 @@ def matches(hit: DataFrame) -> DataFrame:
     pattern has before the group, or the group's first place there where that is not known.
     """
     capped = F.when(F.col("capped"), F.lit(MOST_MATCHES)).otherwise(F.lit(2**31 - 1))
-    cut = hit.withColumns({
-        "_whole": F.slice(F.expr("regexp_extract_all(content, regex, 0)"), 1, capped),
-        "_value": F.expr("regexp_extract_all(content, regex, grp)"),
-        "_before": F.when(F.col("shift") == 1, F.expr("regexp_extract_all(content, regex, 1)")),
-        "_gap": F.expr("split(content, regex, -1)"),
-    })
-    size = cut.withColumn("_step", F.zip_with(F.slice("_gap", 1, F.size("_whole")), "_whole", lambda a, b: F.length(a) + F.length(b)))
+    cut = text.computed(
+        hit, _whole=F.slice(F.expr("regexp_extract_all(content, regex, 0)"), 1, capped), _value=F.expr("regexp_extract_all(content, regex, grp)"),
+        _before=F.when(F.col("shift") == 1, F.expr("regexp_extract_all(content, regex, 1)")), _gap=F.expr("split(content, regex, -1)"),
+    )
+    size = text.computed(cut, _step=F.zip_with(F.slice("_gap", 1, F.size("_whole")), "_whole", lambda a, b: F.length(a) + F.length(b)))
     one = size.select("*", F.posexplode("_whole").alias("match_ord", "_match"))
     value = F.try_element_at("_value", F.col("match_ord") + 1)
     within = F.when(F.col("grp") == 0, 0).when(F.col("shift") == 1, F.length(F.try_element_at("_before", F.col("match_ord") + 1))).otherwise(F.greatest(F.instr(F.col("_match"), value) - 1, F.lit(0)))
     start = F.expr("aggregate(slice(_step, 1, match_ord), 0, (a, x) -> a + x)") + F.length(F.try_element_at("_gap", F.col("match_ord") + 1)) + within
-    placed = one.withColumns({"value": value, "_start": start}).where((F.col("grp") == 0) | (F.col("value") != ""))
-    return placed.withColumn("prefix", F.expr("substring(content, 1, _start)")).drop("_whole", "_value", "_before", "_gap", "_step", "_match", "_start")
+    placed = text.computed(one, value=value, _start=start).where((F.col("grp") == 0) | (F.col("value") != ""))
+    return text.computed(placed, prefix=F.expr("substring(content, 1, _start)")).drop("_whole", "_value", "_before", "_gap", "_step", "_match", "_start")
 
 
 def detect(docs: DataFrame, rules: Sequence[Rule], limits: Limits | None = None) -> DataFrame:
@@ -117,7 +121,7 @@ def detect(docs: DataFrame, rules: Sequence[Rule], limits: Limits | None = None)
     met = hits.join(F.broadcast(pattern_table(docs, patterns)), "number").withColumn("content", F.when(F.col("capped"), _seen(True)).otherwise(F.col("content")))
     found = matches(met)
     prefix, all_lines = F.col("prefix"), F.col("_lines")
-    placed = found.withColumns({"line": text.line_number(prefix), "_lines": text.lines(F.col("content"))})
+    placed = text.computed(found, line=text.line_number(prefix), _lines=text.lines(F.col("content")))
     column = F.when(F.col("line_start"), text.line_start_column(prefix)).otherwise(text.byte_column(prefix))
     return placed.select(*finding(
         type=F.col("type"), severity=F.col("severity"), confidence=F.col("confidence"), file=F.col("path"), line=F.col("line"), column=column,
