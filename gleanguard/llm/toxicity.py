@@ -27,7 +27,7 @@ from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents,
 from gleanguard.llm.tokens import Pieces, once
 
 #: The bound of the labelled sample.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 12_000
 BUCKETS = 1 << 20
 FACTORS = 4
 #: Beginnings of a word that are terms of their own.
@@ -87,9 +87,11 @@ class FactorizationMachine:
         if not len(rows):
             return self
         rng, factors = np.random.default_rng(seed), self.v.shape[1]
-        seen = np.bincount(np.concatenate(rows), minlength=BUCKETS)
+        seen = np.zeros(BUCKETS, np.int64)
+        for r in rows:
+            seen[r] += 1  # a row's places differ
         self.at = np.nonzero(seen >= LEAST_ROWS)[0]
-        own = np.full(BUCKETS, -1, np.int64)
+        own = np.full(BUCKETS, -1, np.int32)
         own[self.at] = np.arange(len(self.at))
         rows = [(p := own[r])[p >= 0] for r in rows]
         n = len(self.at)
@@ -176,8 +178,11 @@ def train(df: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int =
 
     # at most `rows` ids of 16 bytes each are broadcast
     found = df.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, places binary").toArrow()
-    rows_ = sorted(set(zip(*(found.column(c).to_pylist() for c in ("doc_id", "toxic", "places")), strict=True)))
-    return FactorizationMachine().fit([np.frombuffer(p, "<u4") for _, _, p in rows_], np.array([y for _, y, _ in rows_], float))
+    ids, toxic, places = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy(), found.column("places")
+    texts = [np.frombuffer(x.as_buffer(), "<u4") for x in places]
+    # an order of its own, whatever order the rows came in
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], len(texts[k]), texts[k][:1].tobytes()))
+    return FactorizationMachine().fit([texts[k] for k in order], toxic[order].astype(float))
 
 
 def score(df: DataFrame, model: FactorizationMachine) -> DataFrame:
