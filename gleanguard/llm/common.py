@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes of text that a Python task looks at together.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

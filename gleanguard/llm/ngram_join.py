@@ -65,8 +65,8 @@ class WordHashes(Pieces):
     def ngrams(self, texts: list[str], n: int = N) -> list[np.ndarray]:
         """The sorted different 64-bit hashes of each text's n-grams."""
         out = []
-        for v in self.values(texts):
-            h = np.frombuffer(b"".join(v), "<u8")
+        for v in self.joined(texts, 8):
+            h = np.frombuffer(v, "<u8")
             if not len(h):
                 out.append(h)
                 continue

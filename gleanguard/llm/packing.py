@@ -29,7 +29,7 @@ WINDOW = 4096
 #: In tokens of padding: a cut at a sentence end inside a document, and one inside a sentence.
 SENTENCE_PENALTY, INNER_PENALTY = 16, 64
 #: Ids that a task plans together.
-BLOCK_TOKENS = 4 << 20
+BLOCK_TOKENS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 _OUT = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 

@@ -119,17 +119,18 @@ def read_index(fs: pafs.FileSystem, name: str) -> np.ndarray:
 
 def read_at(fs: pafs.FileSystem, name: str, entries: np.ndarray) -> Iterator[tuple[int | None, np.ndarray, int]]:
     """(doc_id, ids, ids before it in the file) of the index entries, in the order given; neighbours in one read."""
+    places = entries.tolist()
     with fs.open_input_file(f"{name}.rec") as f:
         k = 0
-        while k < len(entries):
-            first, end, n = int(entries[k]["at"]), int(entries[k]["at"]), k
-            while n < len(entries) and int(entries[n]["at"]) == end and end - first < READ_BYTES:
-                end += int(entries[n]["length"]) + 16
+        while k < len(places):
+            first = end = places[k][0]
+            n = k
+            while n < len(places) and places[n][0] == end and end - first < READ_BYTES:
+                end += places[n][1] + 16
                 n += 1
             data = f.read_at(end - first, first)
-            for e in entries[k:n]:
-                doc_id, ids = parse(unframe(data, int(e["at"]) - first, int(e["length"])))
-                yield doc_id, ids, int(e["before"])
+            for at, length, before in places[k:n]:
+                yield *parse(unframe(data, at - first, length)), before
             k = n
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanguard.llm.common import batch_of, bounded_batches, documents, rows_of, scratch, settled
+from gleanguard.llm.tokens import forget
 
 LENGTH, GRAM, STEP, BLOCK = 200, 32, 128, 16
 #: Bytes of one text that are ranked together.
@@ -163,6 +164,7 @@ def _marks(texts: DataFrame) -> DataFrame:
     """(place, start, windows): runs of repeated windows of the scan's rows."""
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for place, rows in _numbered(batches):
             found = [(place + k, runs(t.encode())) for k, (_, t) in enumerate(rows) if t]
             found = [(p, r) for p, r in found if len(r[0])]

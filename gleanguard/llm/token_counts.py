@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of
-from gleanguard.llm.tokens import Pieces, once, vocabulary_path
+from gleanguard.llm.bpe_codec import byte_characters
+from gleanguard.llm.merging import MergeTable
+from gleanguard.llm.tokens import Pieces, once, plain_letters, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -24,65 +26,35 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens",
 
 
 class RankMerger:
-    """Counts the symbols that are left of pre-tokens after all merges."""
+    """Counts the symbols that are left of pre-tokens (strings of characters that stand for bytes) after all merges."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         path = vocabulary_path(vocabulary)
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [a["content"] for a in model["added_tokens"]]
-        model = model["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.base = np.int64(len(self.ids) + 1)
+        self.specials = [a["content"] for a in spec["added_tokens"]]
+        model = spec["model"]
+        ids: dict[str, int] = model["vocab"]
+        suffix = model.get("end_of_word_suffix") or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        left, right = (np.array([self.ids[p[k]] for p in pairs], np.int64) for k in (0, 1))
-        keys = left * self.base + right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.joined = np.array([self.ids[a + b] for a, b in pairs], np.int64)
-
-    def symbols(self, word: str) -> list[int]:
-        """First symbols; a character that the vocabulary lacks has no id and yields no token."""
-        if not self.suffix:
-            return [i for c in word if (i := self.ids.get(c)) is not None]
-        return [i for c in (*word[:-1], word[-1] + self.suffix) if (i := self.ids.get(c)) is not None]
+        self.table = MergeTable(*(np.array([ids[p] for p in side], np.int64) for side in zip(*((a, b, a + b) for a, b in pairs), strict=True)))
+        # ids of single characters, inside a word and at its end; a character that the vocabulary lacks yields no token
+        self.inner, self.last = (np.array([ids.get(chr(c) + end, -1) for c in range(512)], np.int64) for end in ("", suffix))
 
     def counts(self, words: list[str]) -> np.ndarray:
-        firsts = [self.symbols(w) for w in words]
-        counts = np.array([len(f) for f in firsts], np.int64)
-        alive = np.nonzero(counts > 1)[0]
-        symbols = np.array([s for k in alive for s in firsts[k]], np.int64)
-        owner = np.repeat(alive, counts[alive])
-        none = len(self.joined)
-        while len(symbols) > 1:
-            keys = symbols[:-1] * self.base + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == keys) & (owner[:-1] == owner[1:]), self.ranks[at], none)
-            rank = np.append(rank, none)
-            starts = np.nonzero(np.append(True, owner[1:] != owner[:-1]))[0]
-            lengths = np.diff(np.append(starts, len(owner)))
-            least = np.minimum.reduceat(rank, starts)
-            going = np.repeat(least < none, lengths)
-            hit = going & (rank == np.repeat(least, lengths))
-            # of touching pairs (a a a), every second one from the left
-            edge = hit & ~np.append(False, hit[:-1])
-            places = np.arange(len(hit))
-            run = np.maximum.accumulate(np.where(edge, places, 0))
-            hit &= (places - run) % 2 == 0
-            symbols = np.where(hit, self.joined[np.minimum(rank, none - 1)], symbols)
-            keep = going & ~np.append(False, hit[:-1])
-            done = ~going
-            if done.any():
-                ends = least >= none
-                counts[owner[starts[ends]]] = lengths[ends]
-            symbols, owner = symbols[keep], owner[keep]
-        if len(owner):
-            counts[owner[0]] = len(owner)
-        return counts
+        sizes = np.array(list(map(len, words)), np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        symbols = self.inner[codes]
+        ends = np.cumsum(sizes) - 1
+        symbols[ends] = self.last[codes[ends]]
+        known = symbols >= 0
+        if not known.all():
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes))
+            symbols = symbols[known]
+        return self.table.merged(symbols, sizes)[1]
 
 
 class PieceCounts(Pieces):
@@ -92,6 +64,10 @@ class PieceCounts(Pieces):
         super().__init__(spaced=t.normalizer is None)
         self.normal = t.normalizer.normalize_str if t.normalizer else str
         self.cut = t.pre_tokenizer.pre_tokenize_str
+        self.stops = (",", ".")
+        self.shown = {b: c for c, b in byte_characters().items()}
+        same = lambda text, *words: [w for w, _ in self.cut(self.normal(text))] == list(words)
+        self.plain = not self.spaced and same("Word.", "word", ".") and same("a,", "a", ",")
 
     def _parts(self, piece: str) -> tuple[list[str], int]:
         """The piece without special tokens' strings, and how many there were."""
@@ -107,6 +83,14 @@ class PieceCounts(Pieces):
         words: dict[str, int] = {}
         needs, extra = [], []
         for piece in pieces:
+            word, stop = (piece[:-1], piece[-1]) if piece[-1:] in self.stops else (piece, "")
+            # letters, or letters and a stop, need no more than lower case; of these two letters it depends on the place
+            if self.plain and word.isalpha() and plain_letters(word):
+                word = word.lower()
+                word = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+                needs.append([words.setdefault(w, len(words)) for w in (word, stop) if w])
+                extra.append(0)
+                continue
             parts, n = self._parts(piece)
             own = [words.setdefault(w, len(words)) for p in parts if p for w, _ in self.cut(self.normal(p))]
             needs.append(own)
@@ -127,7 +111,7 @@ def count_tokens(df: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT
         counter = once(PieceCounts, vocabulary)
         for block in blocks(rows_of(batches, "doc_id", "text"), 1):
             texts = [t or "" for _, t in block]
-            n = [sum(v) for v in counter.values(texts)]
+            n = counter.sums(texts)
             yield batch_of(_OUT, [[i for i, _ in block], [len(t.encode()) for t in texts], n, [k > limit for k in n]])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -2,23 +2,33 @@
 
 A text falls into pieces at places where no token and no pre-token can reach across: for the vocabulary
 with word ends at each space and line feed (white space is dropped there), for the byte-level one before
-each space that follows other than white space. A worker encodes each different piece once while it
+each space that follows other than white space, and around a line feed between such. A worker encodes each different piece once while it
 remembers it. The table of pieces has a fixed bound: when it is half full, a new one begins with those pieces
 that the last one took over from its predecessor, and takes over what it meets of the last one.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Half of the pieces that a worker remembers at most.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _CUT = re.compile(r"(?<=\S)(?= )")
-_UNSURE = re.compile(r"\s ")
+_UNSURE = re.compile(r"\s\s|\0")
+#: More texts than _UNSURE finds, in RE2's syntax: two white spaces together, or any of the unusual ones.
+_UNSURE_RE2 = r"[\t-\r ][\t-\r ]|[\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: What a piece begins with that is a text's beginning as it stands.
+AS_IS = "\0"
 
 
 def vocabulary_path(name: str) -> str:
@@ -30,16 +40,25 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def word_pieces(text: str) -> list[str]:
-    return text.replace("\n", " ").split(" ")
-
-
 def byte_pieces(text: str) -> list[str]:
-    """Pieces of the text, each but the first without the space that it starts with."""
+    """Pieces of the text without the space that each begins with; others begin with AS_IS or a line feed."""
     if _UNSURE.search(text):
         head, *rest = _CUT.split(text)
-        return [head, *(p[1:] for p in rest)]
-    return text.split(" ")
+        pieces = [p[1:] if p[1:2] not in ("\n", AS_IS) else AS_IS + p for p in rest]
+    else:
+        head, *pieces = text.replace("\n", " \n").split(" ")
+    return [AS_IS + head, *pieces]
+
+
+def as_text(piece: str) -> str:
+    """The part of the text that a piece of byte_pieces stands for."""
+    first = piece[:1]
+    return piece[1:] if first == AS_IS else piece if first == "\n" else " " + piece
+
+
+def plain_letters(word: str) -> bool:
+    """Whether normalising a word of letters is no more than lower case, letter by letter."""
+    return word.isascii() or unicodedata.is_normalized("NFC", word) and "Σ" not in word and "İ" not in word
 
 
 class Pieces:
@@ -54,38 +73,74 @@ class Pieces:
     def worth(self, pieces: list[str]) -> list:
         raise NotImplementedError
 
-    def values(self, texts: list[str]) -> list[list]:
-        """Of each text, its pieces' values in order."""
+    def _lookup(self, pieces: list[str]) -> list:
+        """Values of different pieces."""
         if len(self.known) > self.remembered:
             self.old, self.known, self.met = self.known, self.met, {}
-        get, spaced = self.known.get, self.spaced
-        out, firsts, spots = [], [], []
-        for text in texts:
-            pieces = byte_pieces(text) if spaced else word_pieces(text)
-            if spaced:
-                firsts.append(pieces[0])
-                del pieces[0]
-            found = list(map(get, pieces))
-            at = -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                spots.append((found, at, pieces[at]))
-            out.append(found)
-        if spots:
-            old, new = self.old.get, {}
-            for _, _, piece in spots:
-                if piece not in new and (v := old(piece)) is not None:
-                    self.known[piece] = self.met[piece] = v
-                else:
-                    new[piece] = None
-            new = list(new)
-            self.known.update(zip(new, self.worth([" " + p for p in new] if spaced else new), strict=True))
-            for found, at, piece in spots:
-                found[at] = get(piece)
-        if firsts:
-            for found, value in zip(out, self.worth(firsts), strict=True):
-                found.insert(0, value)
-        return out
+        found = list(map(self.known.get, pieces))
+        old, late, new, at = self.old.get, [], [], -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            piece = pieces[at]
+            if (v := old(piece)) is not None:
+                found[at] = self.known[piece] = self.met[piece] = v
+            else:
+                late.append(at)
+                new.append(piece)
+        if new:
+            made = self.worth(list(map(as_text, new)) if self.spaced else new)
+            self.known.update(zip(new, made, strict=True))
+            for at, v in zip(late, made, strict=True):
+                found[at] = v
+        return found
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(number of each piece, where each text's pieces begin and the last one's end, different pieces)."""
+        column = pa.array(texts, pa.large_string())
+        if self.spaced:
+            unsure = np.nonzero(pc.match_substring_regex(column, _UNSURE_RE2).to_numpy(zero_copy_only=False))[0]
+            plain = pc.binary_join_element_wise(pa.scalar(AS_IS, pa.large_string()), pc.replace_substring(column, "\n", " \n"), pa.scalar("", pa.large_string()))
+            if len(unsure):
+                mask = np.zeros(len(texts), bool)
+                mask[unsure] = True
+                plain = pc.if_else(pa.array(mask), pa.scalar("", pa.large_string()), plain)
+            lists = pc.split_pattern(plain, " ")
+        else:
+            unsure = ()
+            lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = lists.values.dictionary_encode()
+        numbers, offsets = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+        pieces = coded.dictionary.to_pylist()
+        if len(unsure):
+            place = {p: k for k, p in enumerate(pieces)}
+            parts = np.split(numbers, offsets[1:-1])
+            for k in unsure.tolist():
+                parts[k] = np.array([place.setdefault(p, len(place)) for p in byte_pieces(texts[k])], np.int64)
+            numbers, offsets, pieces = np.concatenate(parts), np.cumsum([0, *map(len, parts)]), list(place)
+        return numbers, offsets, pieces
+
+    def joined(self, texts: list[str], width: int = 4) -> list[bytes]:
+        """Of each text, its pieces' values (bytes, items of a width) one after another."""
+        if not texts:
+            return []
+        numbers, offsets, pieces = self._cut(texts)
+        values = self._lookup(pieces)
+        items = np.frombuffer(b"".join(values), f"<u{width}")
+        sizes = np.array(list(map(len, values)), np.int64) // width
+        begins = np.cumsum(sizes) - sizes
+        own = sizes[numbers]
+        ends = np.cumsum(own)
+        flat = items[np.repeat(begins[numbers] - (ends - own), own) + np.arange(len(items) and int(ends[-1]) if len(ends) else 0)].tobytes()
+        cuts = (np.concatenate(([0], ends))[offsets] * width).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def sums(self, texts: list[str]) -> list[int]:
+        """Of each text, the sum of its pieces' values."""
+        if not texts:
+            return []
+        numbers, offsets, pieces = self._cut(texts)
+        total = np.concatenate(([0], np.cumsum(np.array(self._lookup(pieces), np.int64)[numbers])))
+        return (total[offsets[1:]] - total[offsets[:-1]]).tolist()
 
 
 class LibraryIds(Pieces):
@@ -114,21 +169,23 @@ class LibraryIds(Pieces):
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         self.edge[[i for t, i in vocab.items() if (t[0] == "\u0120" if spaced else t.endswith(self.suffix or "\0"))]] = True
         self.whole = spaced or bool(self.suffix)
+        self.line_feed = vocab.get("\u010a", -1)
         self.stops = {c: self._one_by_one([c])[0] for c in ",."}
         super().__init__(spaced)
 
     def _one_by_one(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        texts = [" " + " ".join(words[k : k + self.TOGETHER]) for k in range(0, len(words), self.TOGETHER)]
+    def _words(self, words: list[str], before: str = " ") -> list[bytes]:
+        """Ids of words of letters, in the byte-level case with what stands before each."""
+        texts = [before + before.join(words[k : k + self.TOGETHER]) for k in range(0, len(words), self.TOGETHER)]
         out: list[bytes] = []
         for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            edges = np.nonzero(self.edge[ids])[0]
+            edges = np.nonzero(self.edge[ids] if before == " " else ids == self.line_feed)[0]
             own = words[k * self.TOGETHER : (k + 1) * self.TOGETHER]
             if len(edges) != len(own):
-                out += self._one_by_one([" " + w if self.spaced else w for w in own])
+                out += self._one_by_one([before + w if self.spaced else w for w in own])
                 continue
             ends = (np.append(edges[1:], len(ids)) if self.spaced else edges + 1) * 4
             raw, begun = ids.tobytes(), 0
@@ -138,37 +195,59 @@ class LibraryIds(Pieces):
         return out
 
     def worth(self, pieces: list[str]) -> list[bytes]:
-        words: dict[str, int] = {}
+        words: dict[str, dict[str, int]] = {" ": {}, "\n": {}}
+        known = self.known.get
         out: list = [None] * len(pieces)
         others, dealt = [], []
-        skip = 1 if self.spaced else 0
         for k, piece in enumerate(pieces):
-            word = piece[skip:]
+            before, word = (piece[:1], piece[1:]) if self.spaced else (" ", piece)
             stop = b""
             if word[-1:] in self.stops:
                 stop, word = self.stops[word[-1]], word[:-1]
-            if self.whole and word.isalpha() and (not skip or piece[0] == " "):
-                if self.lowers and word.isascii():
+                # the same letters without a stop may be known already
+                if before in words and word.isalpha() and (v := known(word if before == " " else piece[:-1])) is not None:
+                    out[k] = v + stop
+                    continue
+            if self.whole and before in words and word.isalpha() and (self.spaced or plain_letters(word)):
+                if self.lowers:
                     word = word.lower()
-                dealt.append((k, words.setdefault(word, len(words)), stop))
+                own = words[before]
+                dealt.append((k, before, own.setdefault(word, len(own)), stop))
             else:
                 others.append(k)
         for k, v in zip(others, self._one_by_one([pieces[k] for k in others]), strict=True):
             out[k] = v
-        found = self._words(list(words))
-        for k, w, stop in dealt:
-            out[k] = found[w] + stop
+        found = {before: self._words(list(own), before) for before, own in words.items()}
+        for k, before, w, stop in dealt:
+            out[k] = found[before][w] + stop
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(v) for v in self.values(texts)]
+        return self.joined(texts)
 
 
 _made: dict[tuple, object] = {}
 
 
 def once(kind, *args):
-    """One object of a kind in each worker, kept for its later tasks."""
+    """An object of a kind, kept for a worker's later tasks until another kind is asked for: one table at a time."""
     if (kind, args) not in _made:
+        _made.clear()
+        tidy()
         _made[kind, args] = kind(*args)
     return _made[kind, args]
+
+
+def forget() -> None:
+    """For tasks that need no such object, but may run in a worker that has one."""
+    if _made:
+        _made.clear()
+        tidy()
+
+
+def tidy() -> None:
+    """Gives memory that is no longer used back to the machine, as a worker lives through many stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -42,6 +42,14 @@ def test_pieces_give_the_librarys_ids(name):
         assert [ids_of(b) for b in encoder.ids(texts())] == [reference(t) for t in texts()]
 
 
+@pytest.mark.parametrize("name", [BYTES, WORDS])
+def test_known_words_before_stops(name):
+    _, reference = library(name)
+    encoder = LibraryIds(name)
+    for block in (["x Word word\nWord", "Word word\nword"], ["Word. Word, word.\nWord.\nword, ", "word.", "Word,"]):
+        assert [ids_of(b) for b in encoder.ids(block)] == [reference(t) for t in block]
+
+
 def test_pieces_survive_a_full_table():
     _, reference = library(WORDS)
     encoder = LibraryIds(WORDS)
