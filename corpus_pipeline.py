@@ -37,8 +37,8 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
-    return pack(docs)
+    """Pieces of all documents in sequences; a smaller table, as workers have lived through the other stages."""
+    return pack(docs, remembered=200_000)
 
 
 STAGES = [
