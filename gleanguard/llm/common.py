@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes of text that a Python task looks at together.
@@ -60,6 +62,19 @@ def blocks(rows: Iterable[tuple], text_at: int, limit: int = BLOCK_BYTES) -> Ite
         yield held
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches in parts whose texts are about the limit together; null texts are empty."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(text).fill_null("")
+        batch = batch.set_column(batch.schema.get_field_index(text), text, column)
+        part = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+        edges = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Python tuples of the named columns, batch by batch."""
     for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of
+from gleanguard.llm.common import batch_of, bounded_batches, documents, slices
 from gleanguard.llm.tokens import LibraryIds, once
 
 VOCABULARY = "word_bpe_49k.json"
@@ -136,24 +136,24 @@ class Packer:
         return out
 
 
-def pack(df: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end_id: int = END_ID, remembered: int = 500_000) -> DataFrame:
     """Pieces of all documents of (doc_id, text), in sequences of at most `window` ids.
 
     Each document is its text's ids and end_id, so an empty or null text is end_id alone and no document lacks a
     piece. Repeated rows are packed as often as they occur; equal or null doc_ids are ordered by text, nulls first.
     sequence_id grows in the documents' order and is not gapless from one range to the next; offset is gapless
-    from 0 in each sequence. padded_length is the window, or the sequence's own length where that is a power of two.
+    from 0 in each sequence. remembered bounds a worker's table of known pieces, at some 400 bytes each. padded_length is the window, or the sequence's own length where that is a power of two.
     """
     spark = df.sparkSession
     bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once(LibraryIds, vocabulary)
+        encoder = once(LibraryIds, vocabulary, remembered)
         packer = Packer(sentence_ends(encoder.tokenizer), window, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4").tobytes()
-        for block in blocks(rows_of(batches, "doc_id", "text"), 1):
+        for block in slices(batches, "text"):
             rows = []
-            for (doc_id, _), ids in zip(block, encoder.ids([t or "" for _, t in block]), strict=True):
+            for doc_id, ids in zip(block.column("doc_id").to_pylist(), encoder.ids(block.column("text")), strict=True):
                 rows += packer.add(doc_id, ids + end)
             if rows:
                 yield batch_of(_OUT, list(zip(*rows, strict=True)))

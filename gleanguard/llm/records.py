@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of, scratch
+from gleanguard.llm.common import batch_of, bounded_batches, documents, rows_of, scratch, slices
 from gleanguard.llm.tokens import LibraryIds, once
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -85,9 +85,9 @@ def write_records(df: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
         end = np.array([end_id], "<u4").tobytes()
         index, at, before = [], 0, 0
         with fs.open_output_stream(f"{name}.{attempt}.tmp") as out:
-            for block in blocks(rows_of(batches, "doc_id", "text"), 1):
+            for block in slices(batches, "text"):
                 frames = []
-                for (doc_id, _), raw in zip(block, encoder.ids([t or "" for _, t in block]), strict=True):
+                for doc_id, raw in zip(block.column("doc_id").to_pylist(), encoder.ids(block.column("text")), strict=True):
                     ids = np.frombuffer(raw + end, "<u4")
                     payload = payload_of(doc_id, ids, width)
                     frames.append(frame(payload))

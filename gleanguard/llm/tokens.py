@@ -94,9 +94,9 @@ class Pieces:
                 found[at] = v
         return found
 
-    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    def _cut(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(number of each piece, where each text's pieces begin and the last one's end, different pieces)."""
-        column = pa.array(texts, pa.large_string())
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if self.spaced:
             unsure = np.nonzero(pc.match_substring_regex(column, _UNSURE_RE2).to_numpy(zero_copy_only=False))[0]
             plain = pc.binary_join_element_wise(pa.scalar(AS_IS, pa.large_string()), pc.replace_substring(column, "\n", " \n"), pa.scalar("", pa.large_string()))
@@ -115,13 +115,13 @@ class Pieces:
             place = {p: k for k, p in enumerate(pieces)}
             parts = np.split(numbers, offsets[1:-1])
             for k in unsure.tolist():
-                parts[k] = np.array([place.setdefault(p, len(place)) for p in byte_pieces(texts[k])], np.int64)
+                parts[k] = np.array([place.setdefault(p, len(place)) for p in byte_pieces(column[k].as_py())], np.int64)
             numbers, offsets, pieces = np.concatenate(parts), np.cumsum([0, *map(len, parts)]), list(place)
         return numbers, offsets, pieces
 
-    def joined(self, texts: list[str], width: int = 4) -> list[bytes]:
+    def joined(self, texts: list[str] | pa.Array, width: int = 4) -> list[bytes]:
         """Of each text, its pieces' values (bytes, items of a width) one after another."""
-        if not texts:
+        if not len(texts):
             return []
         numbers, offsets, pieces = self._cut(texts)
         values = self._lookup(pieces)
@@ -154,7 +154,7 @@ class LibraryIds(Pieces):
     #: Words that go to the library as one text.
     TOGETHER = 2000
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -171,7 +171,7 @@ class LibraryIds(Pieces):
         self.whole = spaced or bool(self.suffix)
         self.line_feed = vocab.get("\u010a", -1)
         self.stops = {c: self._one_by_one([c])[0] for c in ",."}
-        super().__init__(spaced)
+        super().__init__(spaced, remembered)
 
     def _one_by_one(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -222,7 +222,7 @@ class LibraryIds(Pieces):
             out[k] = found[before][w] + stop
         return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
         return self.joined(texts)
 
 
