@@ -16,7 +16,8 @@ places by ranks of growing length and drops them once their rank is unique:
    the string under the whole block is repeated, all are.
 4. The windows of blocks that are left are ranked by themselves.
 
-Places are known by the task and row of the scan, so marks come back to the scan's tasks as small files and no text is
+Places are known by the file that holds a row and the row's number in it, which stay the same however a scan is cut
+into tasks. Marks come back to the scan's tasks as small files, one for each chunk of a file's rows, and no text is
 ever shuffled. A run that is equal in a third of all texts is one row after step 2's map-side sums.
 """
 
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from gleanguard.llm.common import batch_of, bounded_batches, documents, rows_of,
 from gleanguard.llm.tokens import forget
 
 LENGTH, GRAM, STEP, BLOCK = 200, 32, 128, 16
+#: Rows of a file, as a power of two, whose marks lie together.
+CHUNK = 11
 #: Bytes of one text that are ranked together.
 SLICE = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -129,44 +132,65 @@ def window_ranks(raw: bytes, span: int, block: int) -> list[tuple[int, int]]:
     return list(zip(offsets.tolist(), _signed(_mixed(_mixed(step[at]) + step[at + LENGTH - STEP])).tolist(), strict=True))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Each batch's rows with the place of its first one: task << 32 | row in the task's part of the scan."""
-    place = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        rows = list(rows_of([batch], *batch.schema.names))
-        yield place, rows
-        place += len(rows)
+def _placed(df: DataFrame, is_scan: bool) -> tuple[DataFrame, Broadcast]:
+    """df and where each of its rows lies (_file, _row), and the numbers of the files in the order of their names."""
+    df = df if is_scan else settled(df, "texts")
+    name = F.col("_metadata.file_path").alias("_file")
+    files = sorted(r[0] for r in df.select(name).distinct().collect())
+    return df.select("*", name, F.col("_metadata.row_index").alias("_row")), df.sparkSession.sparkContext.broadcast({f: k << 32 for k, f in enumerate(files)})
 
 
-def _side_table(path: str, names: list[str]) -> dict[str, np.ndarray]:
-    """What the side files have for this task."""
-    fs, base = pafs.FileSystem.from_uri(f"{path}/task={TaskContext.get().partitionId()}")
-    if fs.get_file_info(base).type == pafs.FileType.NotFound:
-        return {n: np.zeros(0, np.int64) for n in names}
-    files = [f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")]
-    tables = []
-    for f in sorted(files):
-        with fs.open_input_file(f) as source:
-            tables.append(pq.ParquetFile(source).read(columns=names))
-    table = pa.concat_tables(tables)
-    return {n: table.column(n).to_numpy() for n in names}
+def _numbered(batches: Iterator[pa.RecordBatch], numbers: Broadcast) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Each batch without _file and _row, and its rows' places: number of the file << 32 | row in the file."""
+    of = numbers.value
+    for batch in batches:
+        places = np.array([of[f] for f in batch.column("_file").to_pylist()], np.int64) + batch.column("_row").to_numpy()
+        yield batch.select([n for n in batch.schema.names if n not in ("_file", "_row")]), places
+
+
+class _Side:
+    """The rows of a side table, ordered by place, for one chunk of places after another."""
+
+    def __init__(self, path: str, names: list[str]):
+        self.path, self.names, self.chunk, self.rows = path, names, None, {}
+
+    def of(self, place: int) -> tuple[dict[str, np.ndarray], int, int]:
+        """Columns, and from where to where in them the place's rows are."""
+        if place >> CHUNK != self.chunk:
+            self.chunk = place >> CHUNK
+            rows = self._read()
+            order = np.argsort(rows["place"], kind="stable")
+            self.rows = {k: v[order] for k, v in rows.items()}
+        first, last = np.searchsorted(self.rows["place"], [place, place + 1])
+        return self.rows, int(first), int(last)
+
+    def _read(self) -> dict[str, np.ndarray]:
+        fs, base = pafs.FileSystem.from_uri(f"{self.path}/chunk={self.chunk}")
+        if fs.get_file_info(base).type == pafs.FileType.NotFound:
+            return {n: np.zeros(0, np.int64) for n in self.names}
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")]
+        tables = []
+        for f in sorted(files):
+            with fs.open_input_file(f) as source:
+                tables.append(pq.ParquetFile(source).read(columns=self.names))
+        table = pa.concat_tables(tables)
+        return {n: table.column(n).to_numpy() for n in self.names}
 
 
 def _write_side(df: DataFrame, name: str) -> str:
-    """Rows with a place, written in a folder for each task of the scan."""
+    """Rows with a place, written in a folder for each chunk of places."""
     path = scratch(df.sparkSession, name)
-    task = F.shiftright("place", 32)
-    df.withColumn("task", task).repartition("task").write.partitionBy("task").parquet(path)
+    df.withColumn("chunk", F.shiftright("place", CHUNK)).repartition("chunk").write.partitionBy("chunk").parquet(path)
     return path
 
 
-def _marks(texts: DataFrame) -> DataFrame:
+def _marks(texts: DataFrame, numbers: Broadcast) -> DataFrame:
     """(place, start, windows): runs of repeated windows of the scan's rows."""
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for place, rows in _numbered(batches):
-            found = [(place + k, runs(t.encode())) for k, (_, t) in enumerate(rows) if t]
+        for batch, places in _numbered(batches, numbers):
+            found = [(p, runs(t.encode())) for p, t in zip(places.tolist(), batch.column("text").to_pylist(), strict=True) if t]
             found = [(p, r) for p, r in found if len(r[0])]
             if found:
                 cols = [np.concatenate([r[c] for _, r in found]) for c in range(4)]
@@ -186,18 +210,15 @@ def _marks(texts: DataFrame) -> DataFrame:
     wanted = _write_side(reps, "wanted")
 
     def take_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = _side_table(wanted, ["place", "anchor", "whole", "start", "span"])
-        order = np.argsort(side["place"], kind="stable")
-        side = {k: v[order] for k, v in side.items()}
-        for place, rows in _numbered(batches):
-            first, last = np.searchsorted(side["place"], [place, place + len(rows)])
-            out, raw, own = [], b"", -1
-            for k in range(first, last):
-                if side["place"][k] != own:
-                    own = side["place"][k]
-                    raw = rows[int(own) - place][1].encode()
-                start, span = int(side["start"][k]), int(side["span"][k])
-                out.append((int(side["anchor"][k]), int(side["whole"][k]), span, raw[start : start + (span >> 16) + LENGTH - 1]))
+        side = _Side(wanted, ["place", "anchor", "whole", "start", "span"])
+        for batch, places in _numbered(batches, numbers):
+            out, texts_ = [], batch.column("text")
+            for row, place in enumerate(places.tolist()):
+                own, first, last = side.of(place)
+                raw = texts_[row].as_py().encode() if last > first else b""
+                for k in range(first, last):
+                    start, span = int(own["start"][k]), int(own["span"][k])
+                    out.append((int(own["anchor"][k]), int(own["whole"][k]), span, raw[start : start + (span >> 16) + LENGTH - 1]))
             for k in range(0, len(out), 10_000):
                 yield batch_of(_BYTES, list(zip(*out[k : k + 10_000], strict=True)))
 
@@ -247,35 +268,24 @@ def covered(size: int, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndar
     return starts[fresh], ends[np.append(np.nonzero(fresh)[0][1:] - 1, len(ends) - 1)]
 
 
-def _with_spans(texts: DataFrame, work, schema: str) -> DataFrame:
+def _with_spans(df: DataFrame, is_scan: bool, work, schema: str) -> DataFrame:
     """work(rows, spans of each row) over the scan, the marks beside it."""
-    # other columns do not change which rows a task of the scan reads
-    marks = _write_side(_marks(texts.select("doc_id", "text")), "marks")
+    texts, numbers = _placed(df, is_scan)
+    marks = _write_side(_marks(texts.select("text", "_file", "_row"), numbers), "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = _side_table(marks, ["place", "start", "windows"])
-        order = np.argsort(side["place"], kind="stable")
-        place_, start, count = (side[k][order] for k in ("place", "start", "windows"))
-        for batch, (place, rows) in _tee(batches):
-            edges = np.searchsorted(place_, np.arange(place, place + len(rows) + 1))
-            spans = []
-            for k, row in enumerate(rows):
-                a, b = edges[k], edges[k + 1]
+        side = _Side(marks, ["place", "start", "windows"])
+        for batch, places in _numbered(batches, numbers):
+            rows, spans = list(rows_of([batch], "doc_id", "text")), []
+            for row, place in zip(rows, places.tolist(), strict=True):
+                own, a, b = side.of(place)
                 raw = (row[1] or "").encode()
-                spans.append((raw, *(covered(len(raw), start[a:b], count[a:b]) if b > a else (None, None))))
+                spans.append((raw, *(covered(len(raw), own["start"][a:b], own["windows"][a:b]) if b > a else (None, None))))
             yield work(batch, rows, spans)
 
     return texts.mapInArrow(run, schema)
 
 
-def _tee(batches: Iterator[pa.RecordBatch]):
-    place = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        rows = list(rows_of([batch], "doc_id", "text"))
-        yield batch, (place, rows)
-        place += len(rows)
-
-
 def _kept(raw: bytes, starts, ends) -> bytes:
     if starts is None:
         return raw
@@ -290,18 +300,17 @@ def repeated_passages(df: DataFrame, is_scan: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of (doc_id, text).
 
     A null text counts as empty. Rows that repeat, and copies of a text, lose all that is LENGTH bytes or longer;
-    a shorter text loses nothing. Matches never cross texts. is_scan says that df reads files as they are, so that
-    each pass over it sees the same rows in the same tasks; any other df is written as a table first.
+    a shorter text loses nothing. Matches never cross texts. is_scan says that df reads files as they are, whose rows
+    have places of their own; any other df is written as a table first.
     """
     bounded_batches(df.sparkSession)
-    texts = df.select("doc_id", "text")
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def work(batch, rows, spans):
         kept = [_kept(*s) for s in spans]
         return batch_of(out, [[r[0] for r in rows], [len(s[0]) for s in spans], [len(s[0]) - len(k) for s, k in zip(spans, kept, strict=True)], [0 if s[1] is None else len(s[1]) for s in spans], [hashlib.sha256(k).hexdigest() for k in kept]])
 
-    return _with_spans(texts if is_scan else settled(texts, "texts"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(df.select("doc_id", "text"), is_scan, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeated_passages(df: DataFrame, is_scan: bool = False) -> DataFrame:
@@ -336,7 +345,7 @@ def drop_repeated_passages(df: DataFrame, is_scan: bool = False) -> DataFrame:
             columns["n_chars"] = pa.array([old if s[1] is None else len(t) for t, old, s in zip(new, columns["n_chars"].to_pylist(), spans, strict=True)], batch.schema.field("n_chars").type)
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return _with_spans(texts if is_scan else settled(texts, "texts"), work, texts.schema).select(df.columns)
+    return _with_spans(texts, is_scan, work, texts.schema).select(df.columns)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
