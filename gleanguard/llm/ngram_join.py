@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of, settled
 from gleanguard.llm.components import components
@@ -211,14 +212,9 @@ def _in_blocks(clusters: DataFrame) -> DataFrame:
     return clusters.join(counted, "root").select(F.col("node").alias("set_id"), F.col("root").alias("cluster"), block.alias("block"), "blocks")
 
 
-def near_duplicates(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links) for every row of (doc_id, text).
-
-    class_id is the smallest doc_id of the documents that links join, directly or by way of others; n_links is
-    the number of other rows whose likeness is the threshold or more, copies included. Texts without words (null,
-    empty) are copies of each other. class_id is null only where all ids of a class are. Rows that repeat an id
-    count as rows. Other columns are not read.
-    """
+def _known(df: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, set_id, grams, bands) of every row, and of every set (set_id, class_id, n_links, rep, kept): rep is its
+    smallest doc_id, kept whether the class keeps this set's rep, which one set of each class is."""
     bounded_batches(df.sparkSession)
     signed = settled(signatures(df, n, threshold, recall), "signatures")
     reps = settled(signed.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("bands").alias("bands")), "sets")
@@ -245,17 +241,54 @@ def near_duplicates(df: DataFrame, n: int = N, threshold: float = THRESHOLD, rec
     found = settled(dealt.groupBy("cluster", "one", "two").applyInArrow(lambda key, table: _pairs_of(key, table, threshold), "set_id string, other string, links long"), "links")
     classes = settled(components(settled(found.where("other IS NOT NULL").select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct(), "edges")), "classes")
     links = found.where("links > 0").groupBy(F.col("set_id").alias("_set")).agg(F.sum("links").alias("links"))
-    least = classes.join(reps.select(F.col("set_id").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("class"))
-    by_set = classes.join(settled(least, "least"), "root").select(F.col("node").alias("_node"), "class")
+    order = F.struct(F.col("rep").isNull().alias("late"), "rep", "node")
+    least = classes.join(reps.select(F.col("set_id").alias("node"), "rep"), "node").groupBy("root").agg(F.min(order).alias("first"))
+    by_set = classes.join(settled(least, "least"), "root").select(F.col("node").alias("_node"), "first")
     known = reps.select("set_id", "rep", "copies").join(by_set, F.col("set_id") == F.col("_node"), "left").join(links, F.col("set_id") == F.col("_set"), "left")
-    known = settled(known.select("set_id", F.coalesce("class", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+    kept = F.coalesce(F.col("first.node") == F.col("set_id"), F.lit(True)).alias("kept")
+    known = known.select("set_id", F.coalesce("first.rep", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "rep", kept)
+    return signed, settled(known, "known")
+
+
+def near_duplicates(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links) for every row of (doc_id, text).
+
+    class_id is the smallest doc_id of the documents that links join, directly or by way of others; n_links is
+    the number of other rows whose likeness is the threshold or more, copies included. Texts without words (null,
+    empty) are copies of each other. class_id is null only where all ids of a class are. Rows that repeat an id
+    count as rows. Other columns are not read.
+    """
+    signed, known = _known(df, n, threshold, recall)
     return signed.select("doc_id", "set_id").join(known, "set_id").select("doc_id", "class_id", "n_links")
 
 
 def drop_near_duplicates(df: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, all columns, but for those of a class whose doc_id is not its class_id."""
-    gone = near_duplicates(df, n, threshold).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(settled(gone, "gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of df, all columns, but all save one of each class.
+
+    The row with the smallest doc_id stays, null ids last; of rows that share this id, one stays. Most ids stay or go
+    as a whole. Of those that several rows share and that a row stays of, the rows are told apart by their set of n-grams.
+    """
+    signed, known = _known(df, n, threshold, RECALL)
+    stays = F.col("kept") & F.col("doc_id").eqNullSafe(F.col("rep"))
+    ids = signed.select("doc_id", "set_id").join(known, "set_id").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(stays).alias("stay"))
+    gone = settled(ids.where("stay = 0 OR rows > 1").select(F.col("doc_id").alias("_gone"), (F.col("stay") > 0).alias("_shared")), "gone")
+    whole = df.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    shared = gone.where("_shared")
+    if shared.isEmpty():
+        return whole
+    key = "_set_id"
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = once(WordHashes)
+        for batch in batches:
+            ids = [digest(words.ngrams([t or ""], n)[0]) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.string())], names=[*batch.schema.names, key])
+
+    told = df.join(shared, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_semi")
+    told = told.mapInArrow(named, T.StructType([*df.schema.fields, T.StructField(key, T.StringType())]))
+    keep = known.where("kept").select(F.col("set_id").alias("_kept_set"), F.col("rep").alias("_kept_id"))
+    stay = told.join(keep, (F.col(key) == F.col("_kept_set")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return whole.unionByName(stay.dropDuplicates([key]).select(df.columns))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
