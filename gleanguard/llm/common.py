@@ -19,9 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a batch of long texts still fits a Python worker."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Arrow batches of few rows and bytes, so that a batch of long texts still fits a Python worker.
+
+    These two settings stay with the session: a DataFrame reads them when it runs, long after this call.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,13 +66,14 @@ def blocks(rows: Iterable[tuple], text_at: int, limit: int = BLOCK_BYTES) -> Ite
         yield held
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches in parts whose texts are about the limit together; null texts are empty."""
+def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES, nulls: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches in parts whose texts are about the limit together; null texts are empty, or with nulls stay."""
     for batch in batches:
         if not batch.num_rows:
             continue
         column = batch.column(text).fill_null("")
-        batch = batch.set_column(batch.schema.get_field_index(text), text, column)
+        if not nulls:
+            batch = batch.set_column(batch.schema.get_field_index(text), text, column)
         part = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
         edges = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):

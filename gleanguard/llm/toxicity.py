@@ -8,8 +8,10 @@ as an insult beside the mention of a group. Training is AdaGrad on the logistic
 on w and a group threshold on each row of v, so that terms which tell nothing weigh nothing, however many of
 them a long text holds.
 
-The model is fitted on the driver on at most TRAIN_ROWS labelled rows: those with the smallest seeded hash of
-doc_id among the rows that are not held out. Scoring needs no shuffle.
+The model is fitted in one task on at most TRAIN_ROWS labelled rows, those with the smallest seeded hash of
+doc_id among the rows that are not held out, and at most TRAIN_PLACES places of theirs; only the model comes to
+the driver. A task that is run again meets the same rows in the same order and gives the same model. Scoring needs
+no shuffle.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of
-from gleanguard.llm.tokens import Pieces, once
+from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of, slices
+from gleanguard.llm.tokens import Pieces, forget, once, tidy
 
-#: The bound of the labelled sample.
-TRAIN_ROWS = 12_000
+#: The bounds of the labelled sample: rows, and places of their terms (four bytes each).
+TRAIN_ROWS, TRAIN_PLACES = 12_000, 1 << 25
 BUCKETS = 1 << 20
 FACTORS = 4
 #: Beginnings of a word that are terms of their own.
@@ -47,8 +49,8 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa
 class Terms(Pieces):
     """Places of the hashed terms of texts."""
 
-    def __init__(self):
-        super().__init__(spaced=False)
+    def __init__(self, remembered: int = 150_000):
+        super().__init__(spaced=False, remembered=remembered)
 
     def worth(self, pieces: list[str]) -> list[bytes]:
         out = []
@@ -84,6 +86,7 @@ class FactorizationMachine:
     def __init__(self, factors: int = FACTORS):
         self.bias, self.at = -20.0, np.zeros(0, np.int64)
         self.w, self.v = np.zeros(0, np.float32), np.zeros((0, factors), np.float32)
+        self._wide: tuple | None = None
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, group_l1: float = GROUP_L1) -> FactorizationMachine:
         if not len(rows):
@@ -135,21 +138,34 @@ class FactorizationMachine:
         self.bias, self.at, self.w, self.v = float(bias), self.at[kept], w[kept].astype(np.float32), v[kept].astype(np.float32)
         return self
 
-    def spread(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row of each place (the last row, of zeros, for places that weigh nothing), w and v with that row."""
-        own = np.full(BUCKETS, len(self.at), np.int64)
-        own[self.at] = np.arange(len(self.at))
-        return own, np.append(self.w, 0).astype(np.float64), np.vstack([self.v, np.zeros((1, self.v.shape[1]))]).astype(np.float64)
+    def _spread(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of each place (the last row, of zeros, for places that weigh nothing), w and v with that row; made once
+        for the same weights."""
+        if self._wide is None or self._wide[0] is not self.w or self._wide[1] is not self.v:
+            own = np.full(BUCKETS, len(self.at), np.int32)
+            own[self.at] = np.arange(len(self.at))
+            self._wide = self.w, self.v, (own, np.append(self.w, 0).astype(np.float64), np.vstack([self.v, np.zeros((1, self.v.shape[1]))]).astype(np.float64))
+        return self._wide[2]
 
     def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        own, w, v = self.spread()
-        out = np.empty(len(rows))
-        for n, r in enumerate(rows):
-            k = own[r]
-            k = k[k < len(self.at)]
-            vk = v[k]
-            out[n] = self.bias + w[k].sum() + 0.5 * float((vk.sum(0) ** 2).sum() - (vk * vk).sum())
-        return out
+        own, w, v = self._spread()
+        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        k = own[np.concatenate(rows)] if len(rows) else own[:0]
+        known = k < len(self.at)
+        of, k = of[known], k[known]
+        vk, sum_of = v[k], lambda x: np.bincount(of, x, len(rows))
+        pairs = sum(sum_of(vk[:, f]) ** 2 for f in range(v.shape[1])) - sum_of((vk * vk).sum(1))
+        return self.bias + sum_of(w[k]) + 0.5 * pairs
+
+    def packed(self) -> list[bytes]:
+        return [np.array([self.bias], "<f8").tobytes(), self.at.astype("<i8").tobytes(), self.w.astype("<f4").tobytes(), self.v.astype("<f4").tobytes()]
+
+    @classmethod
+    def unpacked(cls, parts: list[bytes], factors: int = FACTORS) -> FactorizationMachine:
+        self = cls(factors)
+        self.bias, self.at = float(np.frombuffer(parts[0], "<f8")[0]), np.frombuffer(parts[1], "<i8")
+        self.w, self.v = np.frombuffer(parts[2], "<f4"), np.frombuffer(parts[3], "<f4").reshape(-1, factors)
+        return self
 
     def scores(self, rows: list[np.ndarray]) -> list[float]:
         return (1 / (1 + np.exp(-np.clip(self.logits(rows), -500, 500)))).tolist()
@@ -160,17 +176,18 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(df: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> FactorizationMachine:
+def train(df: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED, most: int = TRAIN_PLACES) -> FactorizationMachine:
     """The machine for labels (doc_id, toxic) over the texts of df (doc_id, text), without the rows held out.
 
-    Null labels and ids are left out; without labelled rows every text scores (almost) 0.
+    Null labels and ids are left out; of labels that repeat an id the largest counts, and of rows that repeat an id
+    one, the one with the least hash of its terms. Without labelled rows (or in an empty table) every text scores
+    almost 0. Null and empty texts are rows without terms. A long text has BUCKETS places at most, and the sample
+    ends before the row that would bring it over `most`. Ties in the sample's order go by doc_id. Other columns are not read.
     """
     bounded_batches(df.sparkSession)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
-    picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows).collect()
-    if not picked:
-        return FactorizationMachine()
-    sample = df.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
+    turn = F.xxhash64("doc_id", F.lit(seed))
+    picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(turn, "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = once(Terms)
@@ -178,38 +195,60 @@ def train(df: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int =
             found = terms.places([t or "" for _, _, t in block])
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in block], pa.int64()), pa.array([y for _, y, _ in block], pa.int32()), pa.array([p.astype("<u4").tobytes() for p in found], pa.binary())], names=["doc_id", "toxic", "places"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        texts, toxic, size = [], [], 0
+        for _, y, places in rows_of(batches, "doc_id", "toxic", "places"):
+            size += len(places) // 4
+            if size > most:
+                break
+            texts.append(np.frombuffer(places, "<u4"))
+            toxic.append(y)
+        for _ in batches:  # what is left is read and not kept
+            pass
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in FactorizationMachine().fit(texts, np.array(toxic, float)).packed()], names=["bias", "at", "w", "v"])
+        del texts
+        tidy()
+
     # at most `rows` ids of 16 bytes each are broadcast
-    found = df.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, places binary").toArrow()
-    ids, toxic, places = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy(), found.column("places")
-    texts = [np.frombuffer(x.as_buffer(), "<u4") for x in places]
-    # an order of its own, whatever order the rows came in
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], len(texts[k]), texts[k][:1].tobytes()))
-    return FactorizationMachine().fit([texts[k] for k in order], toxic[order].astype(float))
+    found = df.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, places binary")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("places").alias("hash"), "toxic", "places")).alias("one")).select("doc_id", "one.toxic", "one.places")
+    sample = one.repartition(1).sortWithinPartitions(turn, "doc_id")
+    made = sample.mapInArrow(fit, "bias binary, at binary, w binary, v binary").collect()
+    return FactorizationMachine.unpacked([bytes(x) for x in made[0]]) if made else FactorizationMachine()
 
 
 def score(df: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of (doc_id, text); a null text scores as an empty one."""
+    """(doc_id, held_out, score, predicted) of every row of (doc_id, text), rows independent of each other.
+
+    A null text scores as an empty one: no terms, the bias alone. Long texts are scored whole. Rows that repeat, and
+    rows without id (never held out), are scored row by row; an empty table gives none. Other columns are not read.
+    """
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = once(Terms)
-        for block in blocks(rows_of(batches, "doc_id", "held_out", "text"), 2):
-            s = model.scores(terms.places([t or "" for _, _, t in block]))
-            yield batch_of(_OUT, [[i for i, _, _ in block], [h for _, h, _ in block], s, [int(x >= 0.5) for x in s]])
+        for part in slices(batches, "text"):
+            s = model.scores(terms.places(part.column("text").to_pylist()))
+            yield batch_of(_OUT, [part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), s, [int(x >= 0.5) for x in s]])
 
     return df.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(df: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """The rows of df, all columns, whose text the model predicts 0 for."""
+    """The rows of df, all columns as they are, whose text the model predicts 0 for; scores as in `score`.
+
+    Equal texts stay or go together; ids play no part, so null and repeated ones are rows like others. df may have
+    columns of any names beside text.
+    """
     bounded_batches(df.sparkSession)
-    name = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = once(Terms)
-        for batch in batches:
-            clean = [x < 0.5 for x in model.scores(terms.places([t or "" for t in batch.column(name).to_pylist()]))]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        for part in slices(batches, "text", nulls=True):
+            clean = [x < 0.5 for x in model.scores(terms.places([t or "" for t in part.column("text").to_pylist()]))]
+            yield part.filter(pa.array(clean, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
