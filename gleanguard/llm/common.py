@@ -53,6 +53,17 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def blocks(rows: Iterable[tuple], text_at: int, limit: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
     """Consecutive rows together until their texts reach the limit."""
     held, size = [], 0

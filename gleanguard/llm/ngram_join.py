@@ -6,14 +6,16 @@ texts are linked when the Jaccard likeness of their sets of n-grams is THRESHOLD
 1. Texts with the same set of n-grams form a class of copies at once, by a digest of the set; one row stands
    for all its copies, however many.
 2. Each such row has BANDS hashes, each of ROWS minima of the set under random hash functions; `banding` chooses
-   the numbers for the target recall at the threshold. Rows that share a band's hash are candidates.
-3. Buckets join rows to clusters (`components` on the graph of rows and buckets, no pairs), and only rows of
-   clusters of two or more go on, with their full sets of n-grams.
-4. A cluster is dealt in blocks of BLOCK rows, and each pair of blocks is one group of work, so a large
-   cluster spreads over many tasks. A group counts exact common n-grams by inverted lists and gives for
-   each row its links (weighted by copies) and a spanning forest of the linked rows: fewer rows than it read,
-   never all pairs. No partner is left out.
+   the numbers for the target recall at the threshold. Rows that share a band's hash, a bucket, are candidates.
+3. Buckets of two rows or more are kept; of those with the very same rows, as near copies have in many bands, the
+   one of the first band is. Only rows of kept buckets go on, with their full sets of n-grams.
+4. A bucket is dealt in blocks of bounded rows and bytes, and each pair of blocks is one group of work, so a large
+   bucket spreads over many tasks. A group counts exact common n-grams by inverted lists; a pair counts in the first
+   band that it shares and in no other. It gives for each row its links (weighted by copies) and a spanning forest
+   of the linked rows: fewer rows than it read, never all pairs. No partner is left out.
 5. `components` over the forests gives the classes of linked texts.
+
+Sets are told apart by 128 bits of their digest and n-grams by 64 bits of theirs.
 """
 
 from __future__ import annotations
@@ -26,16 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of, settled
+from gleanguard.llm.common import blocks, bounded_batches, documents, fresh, rows_of, settled
 from gleanguard.llm.components import components
 from gleanguard.llm.tokens import Pieces, once
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Hash functions at most.
 MINIMA = 160
-BLOCK = 256
+#: Rows and n-grams (of eight bytes) of a block, about.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 20
 SEED = 5
 
 
@@ -82,8 +84,8 @@ class WordHashes(Pieces):
         return out
 
 
-def digest(grams: np.ndarray) -> str:
-    return hashlib.blake2b(grams.tobytes(), digest_size=16).hexdigest()
+def digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
 def minima(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,20 +105,24 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     return draw() | np.uint32(1), draw()
 
 
-_SETS = pa.schema([("set_id", pa.string()), ("copies", pa.int64()), ("cluster", pa.string()), ("block", pa.int64()), ("blocks", pa.int64()), ("ngrams", pa.binary())])
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("set_id", pa.string()), ("grams", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("set_id", pa.binary()), ("grams", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+
+def _mark() -> F.Column:
+    """What tells rows of one doc_id apart: equal texts have equal marks."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def signatures(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, set_id: digest of the set of n-grams, grams: its size, bands: array of band hashes)."""
+    """(doc_id, mark: hash of the text, set_id: digest of the set of n-grams, grams: its size, bands: array of band hashes)."""
     bounded_batches(df.sparkSession)
     bands, rows = banding(threshold, recall)
     a, b = _functions(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = once(WordHashes)
-        for block in blocks(rows_of(batches, "doc_id", "text"), 1):
-            sets = words.ngrams([t or "" for _, t in block], n)
+        for block in blocks(rows_of(batches, "doc_id", "mark", "text"), 2):
+            sets = words.ngrams([t or "" for _, _, t in block], n)
             ids, known, hashes = [], {}, []
             for g in sets:
                 name = digest(g)
@@ -125,9 +131,9 @@ def signatures(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
                     m = minima(g, a, b)
                     known[name] = [int.from_bytes(hashlib.blake2b(m[k * rows : (k + 1) * rows].tobytes(), digest_size=8).digest(), "little", signed=True) for k in range(bands)] if len(g) else []
                 hashes.append(known[name])
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in block], pa.int64()), pa.array(ids), pa.array([len(g) for g in sets], pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in block], pa.int64()), pa.array([r[1] for r in block], pa.int64()), pa.array(ids, pa.binary()), pa.array([len(g) for g in sets], pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], schema=_SIGNED)
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id string, grams long, bands array<long>")
+    return df.select("doc_id", _mark().alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, set_id binary, grams long, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -181,19 +187,19 @@ def forest(edges: list[tuple[int, np.ndarray]], n: int) -> list[tuple[int, int]]
 
 
 def _pairs_of(key, table: pa.Table, threshold: float) -> pa.Table:
-    """Of one pair of blocks: rows (set_id, None, links) and edges (set_id, other, 0) of a spanning forest."""
-    ids, copies, sides = (table.column(c).to_pylist() for c in ("set_id", "copies", "block"))
+    """Of one pair of a bucket's blocks: rows (set_id, None, links) and edges (set_id, other, 0) of a spanning forest."""
+    names, blocks_of = table.column("set_id").to_pylist(), table.column("block").to_pylist()
+    order = [k for _, k in sorted({(blocks_of[k], names[k]): k for k in range(len(names))}.items())]  # whatever order they came in
+    table = table.take(pa.array(order, pa.int64()))
+    ids, weight, side = table.column("set_id").to_pylist(), table.column("copies").to_numpy(), table.column("block").to_numpy()
     sets = [np.frombuffer(g, "<u8") for g in table.column("ngrams").to_pylist()]
-    one, two = key[1].as_py(), key[2].as_py()
-    order = sorted({(sides[k], ids[k]): k for k in range(len(ids))}.items())  # whatever order they came in
-    order = [k for _, k in order]
-    sets, ids, copies, sides = ([x[k] for k in order] for x in (sets, ids, copies, sides))
-    side = np.array(sides)
-    weight = np.array(copies, np.int64)
+    band, one, two = key[0].as_py(), key[2].as_py(), key[3].as_py()
+    earlier = np.stack([np.frombuffer(x, "<i8")[:band] for x in table.column("bands").to_pylist()])
     left, right = np.nonzero(side == one)[0], np.nonzero(side == two)[0]
     links, edges = np.zeros(len(ids), np.int64), []
     for row, others in linked(sets, left, right, threshold):
         others = others[others != row]
+        others = others[~(earlier[others] == earlier[row]).any(1)]  # else an earlier band has counted the pair
         links[row] += weight[others].sum()
         if one != two:
             links[others] += weight[row]
@@ -202,93 +208,92 @@ def _pairs_of(key, table: pa.Table, threshold: float) -> pa.Table:
     a = [ids[x] for x, _ in tree] + [i for i, n in zip(ids, links, strict=True) if n]
     b = [ids[y] for _, y in tree] + [None] * (len(a) - len(tree))
     n = [0] * len(tree) + [int(x) for x in links if x]
-    return pa.Table.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["set_id", "other", "links"])
+    return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["set_id", "other", "links"])
 
 
-def _in_blocks(clusters: DataFrame) -> DataFrame:
-    """(set_id, cluster, block, blocks): a cluster's rows dealt by hash to blocks of about BLOCK rows."""
-    counted = settled(clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "clusters")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    return clusters.join(counted, "root").select(F.col("node").alias("set_id"), F.col("root").alias("cluster"), block.alias("block"), "blocks")
+def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(set_id, band, hash) of all rows' buckets, and the kept buckets (band, hash, blocks)."""
+    banded = reps.where("size(bands) > 0").select("set_id", "grams", F.posexplode("bands").alias("band", "hash"))
+    who = lambda seed: F.bit_xor(F.xxhash64("set_id", F.lit(seed)))
+    counted = banded.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("grams").alias("grams"), who(1).alias("one"), who(2).alias("two")).where("n > 1")
+    first = counted.groupBy("n", "one", "two").agg(F.min(F.struct("band", "hash")).alias("at"), F.max("grams").alias("grams"))
+    blocks_of = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS))
+    return banded.select("set_id", "band", "hash"), settled(first.select("at.band", "at.hash", blocks_of.alias("blocks")), "buckets")
 
 
 def _known(df: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, set_id, grams, bands) of every row, and of every set (set_id, class_id, n_links, rep, kept): rep is its
-    smallest doc_id, kept whether the class keeps this set's rep, which one set of each class is."""
+    """(doc_id, mark, set_id, grams, bands) of every row, and of every set (set_id, class_id, n_links, rep, rep_mark, kept):
+    rep is its smallest doc_id, kept whether the class keeps this set's rep, which one set of each class is."""
     bounded_batches(df.sparkSession)
     signed = settled(signatures(df, n, threshold, recall), "signatures")
-    reps = settled(signed.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("bands").alias("bands")), "sets")
-    banded = reps.where("size(bands) > 0").select("set_id", F.posexplode("bands").alias("band", "hash"))
-    buckets = settled(banded.groupBy("band", "hash").agg(F.min("set_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
-    # a bucket's rows all hang on its least row: fewer edges than rows
-    stars = banded.join(buckets, ["band", "hash"]).where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct()
-    placed = _in_blocks(settled(components(settled(stars, "stars")), "components"))
-    chosen = settled(placed.join(reps.select("set_id", F.col("rep").alias("_rep"), "copies"), "set_id"), "chosen")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")).alias("first")
+    reps = signed.groupBy("set_id").agg(first, F.count("*").alias("copies"), F.max("grams").alias("grams"), F.max("bands").alias("bands"))
+    reps = settled(reps.select("set_id", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("rep_mark"), "copies", "grams", "bands"), "sets")
+    banded, buckets = _buckets(reps)
+    # a row is in as many buckets as there are bands at most
+    places = banded.join(buckets, ["band", "hash"]).groupBy("set_id").agg(F.collect_list(F.struct("band", "hash", "blocks")).alias("places"))
+    chosen = settled(reps.join(places, "set_id").drop("grams"), "chosen")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, names = once(WordHashes), ("set_id", "copies", "cluster", "block", "blocks", "text")
-        for block in blocks(rows_of(batches, *names), 5):
-            # an id that several texts share brings all of them: the digest tells which is meant
-            rows = [(*r[:5], g.tobytes()) for r, g in zip(block, words.ngrams([r[5] or "" for r in block], n), strict=True) if digest(g) == r[0]]
-            if rows:
-                yield batch_of(_SETS, list(zip(*rows, strict=True)))
-
-    met = df.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("set_id", "copies", "cluster", "block", "blocks", "text")
-    sets = met.mapInArrow(sets_of, "set_id string, copies long, cluster string, block long, blocks long, ngrams binary")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = sets.select("set_id", "copies", "cluster", "block", "ngrams", other)
-    dealt = dealt.select("set_id", "copies", "block", "ngrams", "cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    found = settled(dealt.groupBy("cluster", "one", "two").applyInArrow(lambda key, table: _pairs_of(key, table, threshold), "set_id string, other string, links long"), "links")
-    classes = settled(components(settled(found.where("other IS NOT NULL").select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct(), "edges")), "classes")
+        words = once(WordHashes)
+        for batch in batches:
+            k, column = 0, pa.Table.from_batches([batch])
+            for block in blocks(rows_of([batch], "text"), 0):
+                grams = [g.tobytes() for g in words.ngrams([t or "" for (t,) in block], n)]
+                part = column.slice(k, len(block))
+                k += len(block)
+                bands_ = [np.array(x, "<i8").tobytes() for x in part.column("bands").to_pylist()]
+                part = part.drop_columns(["text", "bands"]).append_column("bands", pa.array(bands_, pa.binary())).append_column("ngrams", pa.array(grams, pa.binary()))
+                yield from part.to_batches()
+
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark"))
+    met = df.select("doc_id", _mark().alias("mark"), "text").join(chosen, same).dropDuplicates(["set_id"]).select("set_id", "copies", "places", "bands", "text")
+    sets = met.mapInArrow(sets_of, "set_id binary, copies long, places array<struct<band:int,hash:long,blocks:long>>, bands binary, ngrams binary")
+    dealt = sets.select("*", F.explode("places").alias("at")).withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(SEED)), F.col("at.blocks")))
+    dealt = dealt.select("set_id", "copies", "bands", "ngrams", "block", "at.band", "at.hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("at.blocks") - 1)).alias("other"))
+    groups = dealt.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other").groupBy("band", "hash", "one", "two")
+    found = settled(groups.applyInArrow(lambda key, table: _pairs_of(key, table, threshold), "set_id binary, other binary, links long"), "links")
+    classes = components(settled(found.where("other IS NOT NULL").select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct(), "edges"))
     links = found.where("links > 0").groupBy(F.col("set_id").alias("_set")).agg(F.sum("links").alias("links"))
     order = F.struct(F.col("rep").isNull().alias("late"), "rep", "node")
     least = classes.join(reps.select(F.col("set_id").alias("node"), "rep"), "node").groupBy("root").agg(F.min(order).alias("first"))
     by_set = classes.join(settled(least, "least"), "root").select(F.col("node").alias("_node"), "first")
-    known = reps.select("set_id", "rep", "copies").join(by_set, F.col("set_id") == F.col("_node"), "left").join(links, F.col("set_id") == F.col("_set"), "left")
+    known = reps.select("set_id", "rep", "rep_mark", "copies").join(by_set, F.col("set_id") == F.col("_node"), "left").join(links, F.col("set_id") == F.col("_set"), "left")
     kept = F.coalesce(F.col("first.node") == F.col("set_id"), F.lit(True)).alias("kept")
-    known = known.select("set_id", F.coalesce("first.rep", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "rep", kept)
+    known = known.select("set_id", F.coalesce("first.rep", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "rep", "rep_mark", kept)
     return signed, settled(known, "known")
 
 
 def near_duplicates(df: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links) for every row of (doc_id, text).
+    """(doc_id, class_id, n_links) for every row of (doc_id, text); an empty table gives none.
 
     class_id is the smallest doc_id of the documents that links join, directly or by way of others; n_links is
     the number of other rows whose likeness is the threshold or more, copies included. Texts without words (null,
     empty) are copies of each other. class_id is null only where all ids of a class are. Rows that repeat an id
-    count as rows. Other columns are not read.
+    count as rows, each by its own text. A long text takes part with all its n-grams. Other columns are not read.
     """
     signed, known = _known(df, n, threshold, recall)
     return signed.select("doc_id", "set_id").join(known, "set_id").select("doc_id", "class_id", "n_links")
 
 
 def drop_near_duplicates(df: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, all columns, but all save one of each class.
+    """The rows of df, all columns, but all save one of each class (see near_duplicates).
 
-    The row with the smallest doc_id stays, null ids last; of rows that share this id, one stays. Most ids stay or go
-    as a whole. Of those that several rows share and that a row stays of, the rows are told apart by their set of n-grams.
+    The row with the smallest doc_id stays, null ids last; of rows that share this id, one stays, and where they share
+    the text too, any one of them. Texts without words are one class. An empty table stays empty. Columns may have any
+    names beside doc_id and text.
     """
     signed, known = _known(df, n, threshold, RECALL)
-    stays = F.col("kept") & F.col("doc_id").eqNullSafe(F.col("rep"))
-    ids = signed.select("doc_id", "set_id").join(known, "set_id").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(stays).alias("stay"))
-    gone = settled(ids.where("stay = 0 OR rows > 1").select(F.col("doc_id").alias("_gone"), (F.col("stay") > 0).alias("_shared")), "gone")
-    whole = df.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    shared = gone.where("_shared")
-    if shared.isEmpty():
+    stays = F.col("kept") & F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark"))
+    rows = signed.select("doc_id", "mark", "set_id").join(known, "set_id").groupBy("doc_id", "mark").agg(F.count("*").alias("rows"), F.bool_or(stays).alias("stay"))
+    mark, gone_id, gone_mark = fresh(df, "_mark", "_gone_id", "_gone_mark")
+    gone = settled(rows.where("NOT stay OR rows > 1").select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark), "stay"), "gone")
+    marked, same = df.withColumn(mark, _mark()), F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_mark))
+    whole = marked.join(gone.select(gone_id, gone_mark), same, "left_anti").select(df.columns)
+    twice = gone.where("stay").select(gone_id, gone_mark)
+    if twice.isEmpty():
         return whole
-    key = "_set_id"
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = once(WordHashes)
-        for batch in batches:
-            ids = [digest(words.ngrams([t or ""], n)[0]) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.string())], names=[*batch.schema.names, key])
-
-    told = df.join(shared, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_semi")
-    told = told.mapInArrow(named, T.StructType([*df.schema.fields, T.StructField(key, T.StringType())]))
-    keep = known.where("kept").select(F.col("set_id").alias("_kept_set"), F.col("rep").alias("_kept_id"))
-    stay = told.join(keep, (F.col(key) == F.col("_kept_set")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return whole.unionByName(stay.dropDuplicates([key]).select(df.columns))
+    return whole.unionByName(marked.join(twice, same, "left_semi").dropDuplicates(["doc_id", mark]).select(df.columns))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
