@@ -1,75 +1,85 @@
 """Exact duplicates by two passes over a Bloom filter, with DataFrame functions alone.
 
-Pass 1 reads all rows' hashes and finds the filter's bits that more than one row sets; these bits make a blocked
-Bloom filter, a bitmap for each block. Pass 2 tests each row: one whose bits are not all set has a hash that
-no other row has and passes straight through. Only the others are grouped by their hash, and there the full
-hash decides, so a false alarm costs a shuffled row and never a wrong result.
-
-The filter has BITS_PER_ROW bits for each row. Up to BROADCAST_BYTES it is broadcast; beyond that the rows' ids
-and hashes (never their texts) are dealt by block to meet it.
+Pass 1 reads all rows' hashes and finds the filter's bits that more than one row sets: one number for each row is
+shuffled, no hash and no text. These bits make a blocked Bloom filter, a bitmap for each block. Pass 2 tests each row:
+one whose bit is not set has a hash that no other row has and passes straight through. Only the others are grouped by
+their hash, and there the full hash decides, so a false alarm costs a shuffled row and never a wrong result.
+
+The filter has BITS_PER_ROW bits for each row, so about one row in BITS_PER_ROW is a false alarm. It is cut into
+slices of SLICE_BYTES, each broadcast by itself; a scan of the hashes meets up to SLICES_A_SCAN of them and takes
+only the rows of these slices, so memory is bounded and no row moves to meet the filter at any size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanguard.llm.common import documents, settled
+from gleanguard.llm.common import documents, fresh, settled
 
 BITS_PER_ROW = 32
 #: Fixed: the bits of a bitmap that bitmap_construct_agg makes.
 BLOCK_BITS = 32768
-BROADCAST_BYTES = 16 << 20
+#: Bytes of the filter that are one broadcast, and broadcasts of one scan: the bound of what an executor holds.
+SLICE_BYTES, SLICES_A_SCAN = 16 << 20, 8
 
 
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _places(key: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """The block of a key and its two bits there."""
-    bit = lambda seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BLOCK_BITS)).cast("long")
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long"), [bit(1), bit(2)]
+def blocks_for(rows: int) -> int:
+    return max(1, -(-rows * BITS_PER_ROW // BLOCK_BITS))
+
+
+def slices_for(blocks: int) -> int:
+    return max(1, -(-blocks * BLOCK_BITS // 8 // SLICE_BYTES))
 
 
-def repeated_filter(keys: DataFrame, column: str, blocks: int) -> DataFrame:
-    """(block, bits): the bits that more than one row of `keys` sets."""
-    block, bits = _places(F.col(column), blocks)
-    set_twice = (
-        keys.select((block * BLOCK_BITS).alias("base"), F.explode(F.array_distinct(F.array(*bits))).alias("bit"))
-        .select((F.col("base") + F.col("bit")).alias("place"))
-        .groupBy("place").agg(F.count("*").alias("rows")).where("rows > 1")
-    )
-    own = F.expr(f"cast(place % {BLOCK_BITS} as long)")
-    return set_twice.groupBy(F.expr(f"place div {BLOCK_BITS}").alias("block")).agg(F.bitmap_construct_agg(own).alias("bitmap"))
+def _place(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks * BLOCK_BITS).cast("long"))
 
 
-def with_alarm(rows: DataFrame, column: str, filters: DataFrame, blocks: int) -> DataFrame:
-    """The rows and a column `alarm`: whether the filter has all bits of their key."""
-    block, bits = _places(F.col(column), blocks)
-    small = filters.select(F.col("block").alias("_block"), "bitmap")
-    if blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    bit_of = lambda b: F.expr(f"(cast(conv(hex(substring(bitmap, cast({b} div 8 as int) + 1, 1)), 16, 10) as int) >> cast({b} % 8 as int)) & 1")
-    placed = rows.withColumns({"_block_of": block, "_bit1": bits[0], "_bit2": bits[1]})
-    met = placed.join(small, F.col("_block_of") == F.col("_block"), "left")
-    return met.withColumn("alarm", F.coalesce((bit_of("_bit1") == 1) & (bit_of("_bit2") == 1), F.lit(False))).drop("_block_of", "_bit1", "_bit2", "_block", "bitmap")
+def filter_of(keys: DataFrame, column: str, blocks: int, least: int) -> DataFrame:
+    """(slice, block, bitmap): the bits that `least` rows of keys set, or more."""
+    counted = keys.select(_place(F.col(column), blocks).alias("place")).groupBy("place").agg(F.count("*").alias("rows")).where(F.col("rows") >= least)
+    bits = F.bitmap_construct_agg(F.expr(f"place % {BLOCK_BITS}")).alias("bitmap")
+    found = counted.groupBy(F.expr(f"place div {BLOCK_BITS}").alias("block")).agg(bits)
+    return settled(found.select((F.col("block") % slices_for(blocks)).alias("slice"), "block", "bitmap"), "filter")
 
 
-def blocks_for(rows: int) -> int:
-    return max(1, -(-rows * BITS_PER_ROW // BLOCK_BITS))
+def with_alarm(rows: DataFrame, column: str, filters: DataFrame, blocks: int, alarm: str) -> DataFrame:
+    """The rows and a column `alarm`: whether the filter has the bit of their key. Each row comes from one scan."""
+    slices = slices_for(blocks)
+    at, bits = fresh(rows, "_at", "_bits")
+    placed = rows.withColumn(at, _place(F.col(column), blocks))
+    block = F.expr(f"`{at}` div {BLOCK_BITS}")
+    set_bit = F.expr(f"(cast(conv(hex(substring(`{bits}`, cast((`{at}` % {BLOCK_BITS}) div 8 as int) + 1, 1)), 16, 10) as int) >> cast(`{at}` % 8 as int)) & 1") == 1
+    parts = []
+    for first in range(0, slices, SLICES_A_SCAN):
+        own = range(first, min(first + SLICES_A_SCAN, slices))
+        part = placed if slices <= SLICES_A_SCAN else placed.where((block % slices).isin(list(own)))
+        names = fresh(placed, *(f"{kind}{s}" for s in own for kind in ("_block", "_bitmap")))
+        for s, own_block, own_bits in zip(own, names[::2], names[1::2], strict=True):
+            one = filters.where(F.col("slice") == s).select(F.col("block").alias(own_block), F.col("bitmap").alias(own_bits))
+            part = part.join(F.broadcast(one), block == F.col(own_block), "left")
+        found = part.withColumn(bits, F.coalesce(*(F.col(n) for n in names[1::2])))
+        parts.append(found.select(*rows.columns, F.coalesce(set_bit, F.lit(False)).alias(alarm)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of (doc_id, text).
 
     Texts are equal when they are after each run of ASCII white space became one space; null counts as empty.
-    The row with the smallest doc_id stays, null ids last; of rows that repeat this id, one stays. Other
-    columns are not read, so they may have any names.
+    The row with the smallest doc_id stays, null ids last; of rows that repeat this id, one stays. Long texts are
+    hashed whole; an empty table gives no rows. Other columns are not read, so they may have any names.
     """
     rows = settled(df.select("doc_id", F.sha2(normalised(), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "hashes")
     blocks = blocks_for(rows.count())
-    marked = with_alarm(rows, "text_sha256", settled(repeated_filter(rows, "text_sha256", blocks), "filter"), blocks)
+    marked = with_alarm(rows, "text_sha256", filter_of(rows, "text_sha256", blocks, 2), blocks, "alarm")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
     groups = settled(marked.where("alarm").groupBy("text_sha256").agg(F.min(order).alias("keep"), F.count("*").alias("group_size")), "groups")
     met = marked.where("alarm").join(groups, "text_sha256")
@@ -79,25 +89,35 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """The rows of df, all columns, that stay; equality and choice as in duplicate_groups.
+    """The rows of df, all columns under any names, that stay; equality and choice as in duplicate_groups.
 
-    Rows without alarm pass as they are. Of the others, those that stay are found by hash and doc_id; rows that
-    repeat both are reduced to one.
+    What goes is found among hashes and ids. A second filter, of the texts that rows go of, is broadcast to the scan of
+    whole rows: rows without alarm pass as they are, the others meet the list of what goes. (Where rows go by tens of
+    millions and this filter has more slices than a scan meets, all rows meet the list in a join, as whole rows are
+    read only once.) Rows that repeat both id and text are reduced to one. An empty table stays empty.
     """
-    key = "_text_sha256"
+    key, alarm, gone_id, gone_key = fresh(df, "_text_sha256", "_alarm", "_gone_id", "_gone_sha256")
     keyed = df.withColumn(key, F.sha2(normalised(), 256))
-    rows = settled(keyed.select("doc_id", key), "hashes")
+    rows = settled(keyed.select("doc_id", F.col(key).alias("sha")), "hashes")
     blocks = blocks_for(rows.count())
-    filters = settled(repeated_filter(rows, key, blocks), "filter")
+    alarmed = with_alarm(rows, "sha", filter_of(rows, "sha", blocks, 2), blocks, "alarm").where("alarm").groupBy("doc_id", "sha").agg(F.count("*").alias("rows"))
+    alarmed = settled(alarmed, "alarmed")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id")
-    keep = settled(with_alarm(rows, key, filters, blocks).where("alarm").groupBy(key).agg(F.min(order).alias("keep")).select(F.col(key).alias("_keep_sha256"), F.col("keep.doc_id").alias("_keep_id")), "keep")
-    if blocks * BLOCK_BITS // 8 > BROADCAST_BYTES:
-        gone = with_alarm(rows, key, filters, blocks).where("alarm").select(F.col(key).alias("_keep_sha256")).distinct()
-        marked = keyed.join(gone, F.col(key) == F.col("_keep_sha256"), "left").withColumn("alarm", F.col("_keep_sha256").isNotNull()).drop("_keep_sha256")
+    groups = alarmed.groupBy("sha").agg(F.min(order).alias("keep"), F.sum("rows").alias("n")).where("n > 1")
+    met = alarmed.join(settled(groups, "groups"), "sha").withColumn("stay", F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))).where("NOT stay OR rows > 1")
+    gone = settled(met.select(F.col("doc_id").alias(gone_id), F.col("sha").alias(gone_key), "stay"), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
+    blocks = blocks_for(gone.count())
+    if slices_for(blocks) <= SLICES_A_SCAN:
+        marked = with_alarm(keyed, key, filter_of(gone, gone_key, blocks, 1), blocks, alarm)
     else:
-        marked = with_alarm(keyed, key, filters, blocks)
-    stay = marked.where("alarm").join(keep, (F.col(key) == F.col("_keep_sha256")) & F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return marked.where("not alarm").select(df.columns).unionByName(stay.dropDuplicates([key]).select(df.columns))
+        marked = keyed.withColumn(alarm, F.lit(True))
+    suspects = marked.where(F.col(alarm))
+    whole = marked.where(~F.col(alarm)).select(df.columns).unionByName(suspects.join(gone.select(gone_id, gone_key), same, "left_anti").select(df.columns))
+    twice = gone.where("stay").select(gone_id, gone_key)
+    if twice.isEmpty():
+        return whole
+    return whole.unionByName(suspects.join(twice, same, "left_semi").dropDuplicates(["doc_id", key]).select(df.columns))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,13 +49,27 @@ def test_exact_nulls_and_repeated_rows(spark):
     assert duplicate_groups(df.limit(0)).count() == 0 and drop_duplicates(df.limit(0)).count() == 0
 
 
-def test_exact_beyond_the_broadcast_bound(spark, monkeypatch):
+def test_exact_in_slices_moves_less_than_a_group_by(spark, monkeypatch):
+    """With a filter of many slices, several scans: same rows, no row dealt to meet the filter."""
     from gleanguard.llm import exact_dedup
 
-    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
-    df = docs_of(spark, ["a", "b", "a", "c"])
-    assert sorted(r["keep_id"] for r in duplicate_groups(df).collect()) == [0, 0, 1, 3]
-    assert sorted(r["doc_id"] for r in drop_duplicates(df).collect()) == [0, 1, 3]
+    texts = [f"text {k % 9000}" for k in range(10_000)]
+    df = docs_of(spark, texts).repartition(4)
+    want = sorted(map(tuple, duplicate_groups(df).collect()))
+    monkeypatch.setattr(exact_dedup, "SLICE_BYTES", 4096)
+    monkeypatch.setattr(exact_dedup, "SLICES_A_SCAN", 4)
+    assert exact_dedup.slices_for(exact_dedup.blocks_for(len(texts))) > 8
+    got = duplicate_groups(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert sorted(map(tuple, got.collect())) == want
+    kept = [k for k in range(10_000) if k < 9000]
+    assert sorted(r["doc_id"] for r in drop_duplicates(df).collect()) == kept
+    keys = spark.createDataFrame([(f"k{k}",) for k in range(20_000)], "k string").repartition(4)
+    blocks = exact_dedup.blocks_for(20_000)
+    marked = exact_dedup.with_alarm(keys, "k", exact_dedup.filter_of(keys, "k", blocks, 2), blocks, "alarm")
+    assert "hashpartitioning" not in marked._jdf.queryExecution().executedPlan().toString()
+    assert 0 < marked.where("alarm").count() < 20_000 * 0.06  # all different: false alarms alone
 
 
 def test_components(spark):
