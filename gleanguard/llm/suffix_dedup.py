@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanguard.llm.common import batch_of, bounded_batches, documents, rows_of, scratch, settled
+from gleanguard.llm.common import batch_of, bounded_batches, documents, fresh, rows_of, scratch, settled, slices
 from gleanguard.llm.tokens import forget
 
 LENGTH, GRAM, STEP, BLOCK = 200, 32, 128, 16
@@ -42,6 +42,8 @@ LENGTH, GRAM, STEP, BLOCK = 200, 32, 128, 16
 CHUNK = 11
 #: Bytes of one text that are ranked together.
 SLICE = 4 << 20
+#: Lengths at which ranks are folded before they are doubled again.
+MIXED_AT = (8, 32)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 _RUNS = pa.schema([("anchor", pa.int64()), ("whole", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("span", pa.int64())])
@@ -63,6 +65,8 @@ def doubled(raw: np.ndarray, *lengths: int) -> list[np.ndarray]:
             out[h] = ranks
         if h >= max(lengths):
             return [out[n] for n in lengths]
+        if h in MIXED_AT:  # else sums of periodic strings would agree in their low bits
+            ranks = ranks ^ (ranks >> _U(32))
         ranks = ranks[:-h] * base + ranks[h:] if len(ranks) > h else ranks[:0]
         with np.errstate(over="ignore"):
             base = base * base
@@ -132,20 +136,31 @@ def window_ranks(raw: bytes, span: int, block: int) -> list[tuple[int, int]]:
     return list(zip(offsets.tolist(), _signed(_mixed(_mixed(step[at]) + step[at + LENGTH - STEP])).tolist(), strict=True))
 
 
-def _placed(df: DataFrame, is_scan: bool) -> tuple[DataFrame, Broadcast]:
-    """df and where each of its rows lies (_file, _row), and the numbers of the files in the order of their names."""
+def _placed(df: DataFrame, is_scan: bool) -> tuple[DataFrame, Broadcast, tuple[str, str]]:
+    """df and where each of its rows lies (file, row), the files' numbers by hash of what they are, and the two columns' names.
+
+    A file is known by its path, size and time of change, so a pass that meets another file than the first one did
+    stops. The driver holds one number for each file, less than its own listing of them.
+    """
     df = df if is_scan else settled(df, "texts")
-    name = F.col("_metadata.file_path").alias("_file")
-    files = sorted(r[0] for r in df.select(name).distinct().collect())
-    return df.select("*", name, F.col("_metadata.row_index").alias("_row")), df.sparkSession.sparkContext.broadcast({f: k << 32 for k, f in enumerate(files)})
+    meta, names = df.metadataColumn("_metadata"), tuple(fresh(df, "_file", "_row"))
+    what = F.concat_ws("|", meta["file_path"], meta["file_size"].cast("string"), F.unix_micros(meta["file_modification_time"]).cast("string"))
+    files = sorted(tuple(r) for r in df.select(what.alias("what"), F.xxhash64(what).alias("hash")).distinct().collect())
+    numbers = {h: k << 32 for k, (_, h) in enumerate(files)}
+    if len(numbers) < len(files):
+        raise ValueError("two files have one hash")
+    return df.select("*", F.xxhash64(what).alias(names[0]), meta["row_index"].alias(names[1])), df.sparkSession.sparkContext.broadcast(numbers), names
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], numbers: Broadcast) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Each batch without _file and _row, and its rows' places: number of the file << 32 | row in the file."""
+def _numbered(batches: Iterator[pa.RecordBatch], numbers: Broadcast, names: tuple[str, str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of each batch without the two columns, and their rows' places: number of the file << 32 | row in the file."""
     of = numbers.value
-    for batch in batches:
-        places = np.array([of[f] for f in batch.column("_file").to_pylist()], np.int64) + batch.column("_row").to_numpy()
-        yield batch.select([n for n in batch.schema.names if n not in ("_file", "_row")]), places
+    for batch in slices(batches, "text", nulls=True):
+        try:
+            places = np.array([of[f] for f in batch.column(names[0]).to_pylist()], np.int64) + batch.column(names[1]).to_numpy()
+        except KeyError:
+            raise ValueError("a file has changed since it was first read") from None
+        yield batch.select([n for n in batch.schema.names if n not in names]), places
 
 
 class _Side:
@@ -184,12 +199,12 @@ def _write_side(df: DataFrame, name: str) -> str:
     return path
 
 
-def _marks(texts: DataFrame, numbers: Broadcast) -> DataFrame:
+def _marks(texts: DataFrame, numbers: Broadcast, names: tuple[str, str]) -> DataFrame:
     """(place, start, windows): runs of repeated windows of the scan's rows."""
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for batch, places in _numbered(batches, numbers):
+        for batch, places in _numbered(batches, numbers, names):
             found = [(p, runs(t.encode())) for p, t in zip(places.tolist(), batch.column("text").to_pylist(), strict=True) if t]
             found = [(p, r) for p, r in found if len(r[0])]
             if found:
@@ -211,7 +226,7 @@ def _marks(texts: DataFrame, numbers: Broadcast) -> DataFrame:
 
     def take_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = _Side(wanted, ["place", "anchor", "whole", "start", "span"])
-        for batch, places in _numbered(batches, numbers):
+        for batch, places in _numbered(batches, numbers, names):
             out, texts_ = [], batch.column("text")
             for row, place in enumerate(places.tolist()):
                 own, first, last = side.of(place)
@@ -270,12 +285,12 @@ def covered(size: int, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndar
 
 def _with_spans(df: DataFrame, is_scan: bool, work, schema: str) -> DataFrame:
     """work(rows, spans of each row) over the scan, the marks beside it."""
-    texts, numbers = _placed(df, is_scan)
-    marks = _write_side(_marks(texts.select("text", "_file", "_row"), numbers), "marks")
+    texts, numbers, names = _placed(df, is_scan)
+    marks = _write_side(_marks(texts.select("text", *names), numbers, names), "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = _Side(marks, ["place", "start", "windows"])
-        for batch, places in _numbered(batches, numbers):
+        for batch, places in _numbered(batches, numbers, names):
             rows, spans = list(rows_of([batch], "doc_id", "text")), []
             for row, place in zip(rows, places.tolist(), strict=True):
                 own, a, b = side.of(place)
@@ -300,8 +315,10 @@ def repeated_passages(df: DataFrame, is_scan: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of (doc_id, text).
 
     A null text counts as empty. Rows that repeat, and copies of a text, lose all that is LENGTH bytes or longer;
-    a shorter text loses nothing. Matches never cross texts. is_scan says that df reads files as they are, whose rows
-    have places of their own; any other df is written as a table first.
+    a shorter text loses nothing. Matches never cross texts; a long text is ranked in slices that overlap by a window,
+    so none is missed. An empty table gives no rows. Ids play no part, so null and repeated ones are rows like others.
+    is_scan says that df reads Parquet files as they are, whose rows have places of their own; any other df is written
+    as a table first. Other columns are not read.
     """
     bounded_batches(df.sparkSession)
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -317,7 +334,8 @@ def drop_repeated_passages(df: DataFrame, is_scan: bool = False) -> DataFrame:
     """The rows of df, all columns, their texts without repeated passages; n_chars, where there is one, counts anew.
 
     A character of which only some bytes are covered stays. A text that nothing is removed from stays as it is,
-    null included.
+    null included; one that is covered altogether becomes empty and its row stays. Columns may have any names beside
+    doc_id and text. See repeated_passages.
     """
     bounded_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in ("doc_id", "text")]
