@@ -37,7 +37,7 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Hash functions at most.
 MINIMA = 160
 #: Rows and n-grams (of eight bytes) of a block, about.
-BLOCK, BLOCK_GRAMS = 1024, 1 << 20
+BLOCK, BLOCK_GRAMS = 256, 1 << 20
 SEED = 5
 
 
