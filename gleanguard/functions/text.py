@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: white space that trimming takes off, as a class.
-_BLANK = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Fixed value: white space that trimming takes off.
+_BLANK = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -17,8 +18,13 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What `then` makes of a value that is computed once, within an expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{_BLANK}+|{_BLANK}+\z", "")
+    return F.btrim(text, F.lit(_BLANK))
 
 
 def lines(text: Column) -> Column:

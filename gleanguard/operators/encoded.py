@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanguard.functions import classify, re2, text
-from gleanguard.operators import patterns
+from gleanguard.operators import patterns as m
+from gleanguard.operators.schema import FINDINGS, exploded, finding
 from gleanguard.plans.rules import Limits, Rule
 
 #: The runs, the least bytes and entropy of what is decoded, and what findings say.
@@ -31,15 +32,34 @@ def candidates(docs: DataFrame) -> DataFrame:
     return raw.where(byte_entropy(F.col("raw")) >= LEAST_ENTROPY)
 
 
+def findings_of(patterns: list, path: Column, content: Column) -> Column:
+    """A document's findings in its decoded runs, lines and columns counted there; one level deep, with the patterns given."""
+    outer = F.concat(path, F.lit(SUFFIX))
+
+    def decoded(run: Column, k: Column) -> Column:
+        return F.struct(run.alias("run"), k.alias("k"), F.try_to_binary(run, F.lit("base64")).alias("raw"))
+
+    runs = F.filter(F.transform(F.regexp_extract_all(content, F.lit(re2.to_java(RUN)), F.lit(0)), decoded), lambda x: (F.length(x["run"]) >= SHORTEST_RUN) & (F.length(x["raw"]) >= SHORTEST))
+    texts = F.filter(runs, lambda x: (byte_entropy(x["raw"]) >= LEAST_ENTROPY) & ~classify.has_nul(x["raw"]))
+
+    def renamed(f: Column, k: Column) -> Column:
+        changed = {
+            "type": F.concat(F.lit(TYPE), f["type"]), "reason": F.concat(F.lit(REASON), f["reason"]), "context": F.concat(f["context"], F.lit(CONTEXT)),
+            "detector_ord": F.lit(4), "rule_ord": k * 100_000 + f["rule_ord"],
+        }
+        return F.struct(*finding(**{n: changed.get(n, f[n]) for n in FINDINGS.elementType.names}))
+
+    def found(x: Column) -> Column:
+        inner = F.make_valid_utf8(x["raw"].cast("string"))
+        hits = lambda t: m.matching(patterns, outer, t, m.folded(t), m.has_long_run(t))
+        every = text.let(inner, lambda t: text.let(hits(t), lambda h: F.when(F.size(h) > 0, m.findings_of(patterns, h, outer, t, text.lines(t))).otherwise(F.array().cast(FINDINGS))))
+        return F.transform(every, lambda f: renamed(f, x["k"]))
+
+    return F.flatten(F.transform(texts, found)) if patterns else F.array().cast(FINDINGS)
+
+
 def detect(docs: DataFrame, rules: Sequence[Rule], limits: Limits | None = None) -> DataFrame:
-    """Findings in decoded text, lines and columns counted there; one level deep, rule files' patterns only."""
-    decoded = candidates(docs).select(
-        F.concat("path", F.lit(SUFFIX), F.lit("\0"), F.col("run_ord").cast("string")).alias("path"),
-        F.make_valid_utf8(F.col("raw").cast("string")).alias("content"), classify.has_nul(F.col("raw")).alias("is_binary"),
-    )
-    found = patterns.detect(decoded, [r for r in rules if r.detector == "regex"], limits)
-    run = F.substring_index("file", "\0", -1).cast("int")
-    return found.withColumns({
-        "type": F.concat(F.lit(TYPE), "type"), "reason": F.concat(F.lit(REASON), "reason"), "context": F.concat("context", F.lit(CONTEXT)),
-        "detector_ord": F.lit(4), "rule_ord": run * 100_000 + F.col("rule_ord"), "file": F.substring_index("file", "\0", 1),
-    })
+    """Findings in decoded text of text documents; rule files' patterns only."""
+    patterns = m.usable([r for r in rules if r.detector == "regex"], limits)
+    some = docs.where(~F.col("is_binary") & F.col("content").rlike(re2.to_java(RUN))).select("path", "content")
+    return exploded(some.select(findings_of(patterns, F.col("path"), F.col("content")).alias("found")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanguard.functions import re2, text
-from gleanguard.operators.schema import finding
+from gleanguard.operators.schema import exploded, finding
 
 #: The words, the words beside them that make them suspicious, thresholds and scores.
 WORD = r"[A-Za-z0-9\-_+=/]{20,}"
@@ -34,15 +34,33 @@ def words(docs: DataFrame) -> DataFrame:
     return found.withColumns({"keyword": F.col("trimmed").rlike(re2.to_java(KEYWORDS)), "entropy": text.entropy(F.col("word"))})
 
 
+def findings_of(path: Column, lines: Column) -> Column:
+    """A document's findings: words whose entropy and confidence are high enough; a column is one and the bytes before
+    the word's first place in the trimmed line."""
+
+    def one(row: Column, w: Column) -> Column:
+        trimmed = row["trimmed"]
+        before = F.substring(trimmed, F.lit(1), F.instr(trimmed, w["word"]) - 1)
+        return F.struct(*finding(
+            type=F.lit("High Entropy String"), severity=F.lit(2), confidence=w["confidence"], file=path, line=row["line"],
+            column=F.octet_length(before) + 1, value=w["word"], reason=F.lit("High-entropy string detected (potential secret)"),
+            rule_id=F.lit("entropy-high"), tags=F.array(F.lit("entropy"), F.lit("potential-secret")), source_line=trimmed,
+            detector_ord=F.lit(3), rule_ord=row["line"], pattern_ord=F.lit(0), match_ord=w["match_ord"],
+        ))
+
+    def scored(row: Column, word: Column, k: Column) -> Column:
+        return text.let(text.entropy(word), lambda e: F.struct(word.alias("word"), k.alias("match_ord"), e.alias("entropy"), confidence(e, F.length(word), row["keyword"]).alias("confidence")))
+
+    def in_line(row: Column) -> Column:
+        every = F.transform(F.regexp_extract_all(row["trimmed"], F.lit(WORD), F.lit(0)), lambda w, k: scored(row, w, k))
+        return F.transform(F.filter(every, lambda w: (w["entropy"] >= LEAST_ENTROPY) & (w["confidence"] >= LEAST_CONFIDENCE)), lambda w: one(row, w))
+
+    numbered = F.filter(F.transform(lines, lambda x, k: F.struct((k + 1).alias("line"), x.alias("raw"))), lambda x: x["raw"].rlike(WORD))
+    trimmed = F.transform(numbered, lambda x: text.let(text.trimmed(x["raw"]), lambda t: F.struct(x["line"].alias("line"), t.alias("trimmed"), t.rlike(re2.to_java(KEYWORDS)).alias("keyword"))))
+    return F.flatten(F.transform(trimmed, in_line))
+
+
 def detect(docs: DataFrame) -> DataFrame:
-    """Findings for words whose entropy and confidence are high enough; a column is one and the bytes before the
-    word's first place in the trimmed line."""
-    kept = words(docs).where(F.col("entropy") >= LEAST_ENTROPY).withColumn("confidence", confidence(F.col("entropy"), F.length("word"), F.col("keyword")))
-    kept = kept.where(F.col("confidence") >= LEAST_CONFIDENCE)
-    before = F.expr("substring(trimmed, 1, instr(trimmed, word) - 1)")
-    return kept.select(*finding(
-        type=F.lit("High Entropy String"), severity=F.lit(2), confidence=F.col("confidence"), file=F.col("path"), line=F.col("line"),
-        column=F.octet_length(before) + 1, value=F.col("word"), reason=F.lit("High-entropy string detected (potential secret)"),
-        rule_id=F.lit("entropy-high"), tags=F.array(F.lit("entropy"), F.lit("potential-secret")), source_line=F.col("trimmed"),
-        detector_ord=F.lit(3), rule_ord=F.col("line"), pattern_ord=F.lit(0), match_ord=F.col("match_ord"),
-    ))
+    """Findings of text documents (path, content, is_binary)."""
+    some = docs.where(~F.col("is_binary") & F.col("content").rlike(WORD)).select("path", "content")
+    return exploded(some.select(findings_of(F.col("path"), text.lines(F.col("content"))).alias("found")))

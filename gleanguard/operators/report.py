@@ -58,6 +58,21 @@ def rule_stats(findings: DataFrame) -> DataFrame:
     )
 
 
+def affected_files(findings: DataFrame) -> DataFrame:
+    """(file, findings, least, worst, rules): each file with findings, their severities and how many rules they are of."""
+    return findings.groupBy("file").agg(F.count("*").alias("findings"), F.min("severity").alias("least"), F.max("severity").alias("worst"), F.count_distinct("rule_id").alias("rules"))
+
+
+def rule_files(findings: DataFrame, n: int = 5) -> DataFrame:
+    """rule_stats and the first n files by name of each rule (some_files); rules with most hits first."""
+    from pyspark.sql import Window
+
+    files = findings.select("rule_id", "file").distinct()
+    first = files.withColumn("k", F.row_number().over(Window.partitionBy("rule_id").orderBy("file"))).where(F.col("k") <= n)
+    some = first.groupBy("rule_id").agg(F.array_sort(F.collect_list("file")).alias("some_files"))
+    return rule_stats(findings).join(some, "rule_id").orderBy(F.desc("hits"), "rule_id")
+
+
 def top_rules(findings: DataFrame, n: int = 20) -> DataFrame:
     """The rules with most hits; equal ones by id."""
     return rule_stats(findings).orderBy(F.desc("hits"), "rule_id").limit(n)

@@ -28,3 +28,12 @@ def documents(df: DataFrame) -> DataFrame:
 def finding(**columns: Column) -> list[Column]:
     """The columns of FINDING; those that are not given are null, empty optional texts too."""
     return [columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FINDING]
+
+
+#: An array of findings, what a detector gives for one document.
+FINDINGS = T.ArrayType(FINDING)
+
+
+def exploded(df: DataFrame) -> DataFrame:
+    """The findings in the column `found`, an array for each document, as rows."""
+    return df.select(F.explode("found").alias("one")).select("one.*")

@@ -22,19 +22,41 @@ def directive(keyword: str = KEYWORD) -> str:
     return rf"(?i)(?:{keyword}|secret(?:s)?)\s*:\s*ignore(?:\s*\(([^)]+)\))?"
 
 
-def directives(docs: DataFrame, keyword: str = KEYWORD) -> DataFrame:
-    """(path, at: line, rules: ids or null for all, last: the document's lines), the first directive of each line."""
+def _marks(lines: Column, keyword: str) -> Column:
+    """(at: line, rules: ids or null for all) of the lines with a directive, the first of each line."""
     own, end = re2.to_java(directive(keyword)), re2.to_java(AT_LINE_END)
-    some = docs.where(F.lower("content").rlike(rf"{keyword.lower()}|secret|nosec|noscan|noqa|ſ"))
-    by_line = some.select("path", text.lines(F.col("content")).alias("lines")).select("path", F.size("lines").alias("last"), F.posexplode("lines").alias("k", "line"))
-    marked = by_line.where(F.col("line").rlike(own) | F.col("line").rlike(end))
-    listed = F.filter(F.transform(F.split(F.regexp_extract("line", own, 1), ","), text.trimmed), lambda x: x != "")
-    rules = F.when(F.col("line").rlike(own) & (F.size(listed) > 0), listed)
-    return marked.select("path", (F.col("k") + 1).alias("at"), rules.alias("rules"), "last")
+
+    def rules(line: Column) -> Column:
+        listed = F.filter(F.transform(F.split(F.regexp_extract(line, own, 1), ","), text.trimmed), lambda x: x != "")
+        return F.when(line.rlike(own), text.let(listed, lambda x: F.when(F.size(x) > 0, x)))
+
+    marked = F.filter(F.transform(lines, lambda x, k: F.struct((k + 1).alias("at"), x.alias("line"))), lambda x: x["line"].rlike(own) | x["line"].rlike(end))
+    return F.transform(marked, lambda x: F.struct(x["at"].alias("at"), rules(x["line"]).alias("rules")))
+
+
+def may_have_directives(content: Column, keyword: str = KEYWORD) -> Column:
+    return F.lower(content).rlike(rf"{keyword.lower()}|secret|nosec|noscan|noqa|ſ")
+
+
+def directives(docs: DataFrame, keyword: str = KEYWORD) -> DataFrame:
+    """(path, at, rules, last: the document's lines), a row for each line with a directive."""
+    some = text.computed(docs.where(may_have_directives(F.col("content"), keyword)).select("path", "content"), lines=text.lines(F.col("content")))
+    return some.select("path", F.size("lines").alias("last"), F.explode(_marks(F.col("lines"), keyword)).alias("d")).select("path", "d.at", "d.rules", "last")
+
+
+def uncovered(found: Column, content: Column, keyword: str = KEYWORD) -> Column:
+    """A document's findings without those whose line, or one of the three lines before it, has a directive for their rule."""
+
+    def kept(lines: Column, marks: Column) -> Column:
+        covers = lambda f, d: (f["line"] >= d["at"]) & (f["line"] <= d["at"] + REACH) & (f["line"] <= F.size(lines)) & (d["rules"].isNull() | F.array_contains(d["rules"], f["rule_id"]))
+        return F.filter(found, lambda f: ~F.exists(marks, lambda d: covers(f, d)))
+
+    checked = text.let(text.lines(content), lambda lines: text.let(_marks(lines, keyword), lambda marks: F.when(F.size(marks) > 0, kept(lines, marks)).otherwise(found)))
+    return F.when(may_have_directives(content, keyword), checked).otherwise(found)
 
 
 def without_inline(findings: DataFrame, docs: DataFrame, keyword: str = KEYWORD) -> DataFrame:
-    """Findings without those whose line or one of the three lines before it has a directive for their rule.
+    """`uncovered` for findings apart from their documents, such as those of a detector of one's own.
 
     Directives are few: the join is an anti-join on the path with the lines as its condition.
     """
@@ -114,6 +136,12 @@ def updated_baseline(baseline: DataFrame, findings: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("hash").agg(F.max_by("location", F.struct(F.col("ord").isNotNull(), "ord")).alias("location"))
 
 
+def baseline_files(baseline: DataFrame) -> DataFrame:
+    """(file, findings): the files of a baseline, a location's text before its first colon."""
+    return baseline.groupBy(F.substring_index("location", ":", 1).alias("file")).agg(F.count("*").alias("findings"))
+
+
 def baseline_stats(baseline: DataFrame) -> DataFrame:
-    """One row: total and the sorted different files (a location's text before its first colon)."""
-    return baseline.agg(F.count("*").alias("total"), F.array_sort(F.collect_set(F.substring_index("location", ":", 1))).alias("files"))
+    """One row: total and the sorted different files, all names in one array; baseline_files has a row for each."""
+    files = baseline_files(baseline)
+    return files.agg(F.coalesce(F.sum("findings"), F.lit(0)).alias("total"), F.array_sort(F.collect_list("file")).alias("files"))

@@ -55,13 +55,20 @@ def _sql(template: str) -> str:
     return " || ".join(out)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer splits than there are cores, as small ones of one file have, dealt to all of them; larger ones
+    stay in their files' splits and nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of every customer."""
     key = F.col("c_custkey").cast("string")
     number = F.col("c_custkey")
     content = F.coalesce(*(F.when(number % len(TEMPLATES) == k, _column(t, key)) for k, t in enumerate(TEMPLATES)))
     end = F.coalesce(*(F.when(number % len(EXTENSIONS) == k, F.lit(e)) for k, e in enumerate(EXTENSIONS)))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("src/"), key, end).alias("path"), content.alias("content"))
+    return spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")).select(F.concat(F.lit("src/"), key, end).alias("path"), content.alias("content"))
 
 
 def generated_sql() -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -118,11 +119,15 @@ def resolved(name: str, directory: str | None = None) -> tuple[PolicyRule, ...]:
     return out
 
 
-def select_rules(profile: str = "", policy_file: str = "", profiles_dir: str | None = None) -> tuple[PolicyRule, ...]:
-    """A profile before a policy file before the shipped default."""
+def select_rules(profile: str = "", policy_file: str = "", profiles_dir: str | None = None, policy_dir: str | None = None) -> tuple[PolicyRule, ...]:
+    """A profile before a policy file before default.yml of a folder before the shipped default."""
     if profile:
+        if policy_file:
+            warnings.warn(f"both a profile and a policy file are given; the profile {profile!r} goes before", stacklevel=2)
         return resolved(profile, profiles_dir)
-    return policy_from_file(policy_file) if policy_file else PROFILES["default"].rules
+    if policy_file:
+        return policy_from_file(policy_file)
+    return policy_from_file(os.path.join(policy_dir, "default.yml")) if policy_dir else PROFILES["default"].rules
 
 
 def action(rules: Sequence[PolicyRule], tags: Column, severity: Column) -> Column:

@@ -13,7 +13,7 @@ from gleanguard.operators.schema import documents
 from gleanguard.plans import oracle as O
 from gleanguard.plans import policy
 from gleanguard.plans import rules as R
-from gleanguard.plans.generated import generated, generated_sql
+from gleanguard.plans.generated import generated, generated_sql, spread
 from gleanguard.sinks import rows
 from gleanguard.sources import files
 from gleanguard.sources.globs import ignore_rules, ignored
@@ -45,13 +45,8 @@ def _numbers(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A table of few files dealt to all tasks, as matching costs far more than moving the rows."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_table(_spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "text", "doc_id", prefix="documents")
+    return from_table(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "text", "doc_id", prefix="documents")
 
 
 _DOCS_SQL = "docs AS (SELECT 'documents/' || doc_id AS path, text AS content FROM documents), "
@@ -69,12 +64,16 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_findings_sql("docs AS (SELECT 'pages/' || page_id AS path, html AS content FROM pages), ", f"SELECT {_PLACED_SQL} FROM findings"))
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbers(_all_patterns(from_table(_spread(spark.read.parquet(f"{sf_dir}/pages.parquet")), "html", "page_id", prefix="pages")).select(*_PLACED))
+    return _numbers(_all_patterns(from_table(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")), "html", "page_id", prefix="pages")).select(*_PLACED))
 
 
-@query(_findings_sql("docs AS (SELECT 'conversations/' || conv_id || '/' || turn AS path, text AS content FROM conversations), ", f"SELECT {_PLACED_SQL} FROM findings"))
+# turns hold no secrets, so every seventh gets one
+@query(_findings_sql("docs AS (SELECT 'conversations/' || conv_id || '/' || turn AS path, text || CASE WHEN (conv_id + turn) % 7 = 0 THEN chr(10) || 'api_key = ' || chr(39) || md5(text) || chr(39) || chr(10) || 'AKIA' || substr(upper(md5(text)), 1, 16) ELSE '' END AS content FROM conversations), ", f"SELECT {_PLACED_SQL} FROM findings"))
 def scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbers(_all_patterns(from_table(_spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "text", "conv_id", "turn", prefix="conversations")).select(*_PLACED))
+    turns, md5 = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")), F.md5("text")
+    secret = F.concat(F.lit("\napi_key = '"), md5, F.lit("'\nAKIA"), F.substring(F.upper(md5), 1, 16))
+    told = turns.withColumn("text", F.concat("text", F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, secret).otherwise(F.lit(""))))
+    return _numbers(_all_patterns(from_table(told, "text", "conv_id", "turn", prefix="conversations")).select(*_PLACED))
 
 
 def _group(name: str, rules: tuple[R.Rule, ...]) -> None:
@@ -149,11 +148,6 @@ def base64_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.is_valid_utf8(F.col("raw").cast("string"))).select("path", "run", F.col("raw").cast("string").alias("decoded"))
 
 
-@query()
-def base64_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbers(encoded.detect(documents(generated(spark, sf_dir)), R.shipped()).select("file", "type", "rule_id", "line", "column", "value", "reason"))
-
-
 @query(
     f"WITH {O.findings_ctes(_GENERATED_SQL, R.shipped())}, {O.directives_sql()} SELECT {_PLACED_SQL} FROM findings f WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE d.path = f.file "
     "AND f.line BETWEEN d.at_line AND d.at_line + 3 AND f.line <= d.last AND (d.rules IS NULL OR list_contains(d.rules, f.rule_id)))"

@@ -126,10 +126,12 @@ def overlaid(rules: list[Rule] | tuple[Rule, ...], own: list[Rule]) -> list[Rule
 
 
 def load(directory: str | None = None, user_directory: str | None = None) -> list[Rule]:
-    """The shipped rules or a folder's, and on top the users' own, whose errors are passed over."""
+    """The shipped rules or a folder's, and on top the users' own, whose errors of any kind are passed over."""
+    import yaml
+
     rules = from_directory(directory) if directory else list(shipped())
     try:
         own = from_directory(user_directory or user_rules_dir())
-    except (OSError, ValueError, KeyError, TypeError):
+    except (OSError, ValueError, KeyError, TypeError, AttributeError, yaml.YAMLError):
         own = []
     return overlaid(rules, own)

@@ -24,6 +24,7 @@ class ScanConfig:
     profile: str = ""
     policy_file: str = ""
     profiles_dir: str = ""
+    policy_dir: str = ""
     min_confidence: float = 0.0
     min_severity: str = ""
     tags: Sequence[str] = ()
@@ -38,6 +39,8 @@ class ScanConfig:
     max_files: int = 0
     max_file_size_mb: int = 0
     boundaries: Sequence[str] = ()
+    diff_base: str = "main"
+    verbose: bool = False
 
     def with_file(self, settings: dict) -> ScanConfig:
         known = {f.name: f.default for f in fields(self)}
@@ -51,18 +54,20 @@ class ScanConfig:
 
 
 def raw_findings(docs: DataFrame, config: ScanConfig) -> DataFrame:
-    """Detectors, the three filters and the directives in the text; nothing but the anti-join shuffles."""
+    """Detectors, the directives in the text and the three filters, over one reading of the documents and no shuffle.
+
+    The filters and directives look at one finding each, so their order does not matter.
+    """
     docs = schema.documents(docs)
     rules = R.load(config.rules_dir or None, config.user_rules_dir or None)
-    found = detectors.run(docs, rules, config.detectors, config.limits())
-    found = filters.by_tags(filters.by_severity(filters.by_confidence(found, config.min_confidence), config.min_severity), config.tags)
-    return suppress.without_inline(found, docs, config.keyword) if config.inline else found
+    found = detectors.run(docs, rules, config.detectors, config.limits(), config.keyword if config.inline else None)
+    return filters.by_tags(filters.by_severity(filters.by_confidence(found, config.min_confidence), config.min_severity), config.tags)
 
 
 def scan(docs: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """Findings of documents (path, content, ...) with their actions; baseline before suppressions."""
     config = config or ScanConfig()
-    rules = policy.select_rules(config.profile, config.policy_file, config.profiles_dir or None)
+    rules = policy.select_rules(config.profile, config.policy_file, config.profiles_dir or None, config.policy_dir or None)
     found = policy.apply(raw_findings(docs, config), rules)
     if config.baseline:
         found = suppress.new_findings(found, stored.read_baseline(docs.sparkSession, config.baseline))
@@ -84,10 +89,15 @@ def read_source(spark: SparkSession, path: str, config: ScanConfig, diff: str |
     return files.read_file(spark, path)
 
 
+def configured(path: str, config: ScanConfig, file: str = "") -> ScanConfig:
+    """The settings with those of a file, or else of the nearest one above the path, in place of defaults."""
+    if not file and "://" not in path:
+        file = stored.find_config(path if os.path.isdir(path) else os.path.dirname(path) or ".") or ""
+    return config.with_file(stored.read_config(file)) if file else config
+
+
 def scan_path(spark: SparkSession, path: str, config: ScanConfig | None = None, diff: str | None = None, staged: bool = False) -> DataFrame:
-    config = config or ScanConfig()
-    if "://" not in path and (found := stored.find_config(path if os.path.isdir(path) else os.path.dirname(path) or ".")):
-        config = config.with_file(stored.read_config(found))
+    config = configured(path, config or ScanConfig())
     return scan(read_source(spark, path, config, diff, staged), config)
 
 

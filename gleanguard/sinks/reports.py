@@ -95,16 +95,26 @@ def sarif(findings: DataFrame, version: str = "0.1.0", uri: str = "") -> str:
     return _escaped({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results or None}]}) + "\n"
 
 
-def dashboard(findings: DataFrame, shown: int = 20) -> str:
+#: The dashboard's title and how wide it is, files named for a rule.
+_TITLE, _WIDE, _NAMED = "Rule Health Dashboard", 60, 5
+
+
+def dashboard(findings: DataFrame, shown: int = 20, verbose: bool = False) -> str:
     stats = report.top_rules(findings, shown).collect()
     total = findings.agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"), F.count_distinct("rule_id").alias("rules")).first()
     by = {r["severity"]: r["findings"] for r in report.severity_histogram(findings).collect()}
-    out = ["Rule health", "", f"  Total Findings: {total['n']}", f"  Files Affected: {total['files']}", "", "  Severity Distribution:"]
+    out = ["╔" + "═" * _WIDE + "╗", "║" + (" " * 18 + _TITLE).ljust(_WIDE) + "║", "╚" + "═" * _WIDE + "╝", ""]
+    out += [f"  Total Findings: {total['n']}", f"  Files Affected: {total['files']}", "", "  Severity Distribution:"]
     out += [f"    {SEVERITIES[s - 1]:<10} {by[s]:3d} {'█' * min(by[s], 30)}" for s in range(5, 0, -1) if by.get(s)]
     out += ["", "  Top Rules:", f"  {'RULE':<20} {'HITS':<8} {'CONF':<6} {'FILES':<10}", "  " + "-" * 50]
     out += [f"  {_short(r['rule_id']):<20} {r['hits']:<8d} {r['avg_confidence']:<6.2f} {r['files']:<10d}" for r in stats]
     if total["rules"] > shown:
         out.append(f"  ... and {total['rules'] - shown} more rules")
+    if verbose:
+        out += ["", "  Detailed Rule Stats:"]
+        for r in report.rule_files(findings, _NAMED).collect():
+            names = list(r["some_files"]) + ([f"... and {r['files'] - _NAMED} more"] if r["files"] > _NAMED else [])
+            out += [f"    {r['rule_name']} ({r['rule_id']})", f"      Hits: {r['hits']}, Avg Confidence: {r['avg_confidence']:.2f}", f"      Files: {r['files']}", f"      {', '.join(names)}"]
     return "\n".join(out) + "\n"
 
 

@@ -31,7 +31,12 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
-    """(rule_id, level, message, uri, start_line, start_column, rule_index and the ordering columns)."""
+    """(rule_id, level, message, uri, start_line, start_column, rule_index and the ordering columns).
+
+    A rule's index needs all findings, so they are persisted (on disk where memory does not do) and not made twice;
+    findings.unpersist() gives them back.
+    """
+    findings = findings.persist()
     index = F.broadcast(sarif_rules(findings).select("rule_id", "rule_index"))
     message = F.concat("type", F.lit(": "), "reason", F.lit(" (confidence: "), percent(F.col("confidence")), F.lit("%)"))
     return findings.join(index, "rule_id").select(
