@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,7 +10,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a Python task looks at together.
 BLOCK_BYTES = 2 << 20
@@ -29,18 +32,31 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, as in tests, one of our own."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a session on this machine alone, as in
+    tests, gets one of our own; on a cluster that is an error, as executors don't share a machine's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gleanguard-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+#: Schemes of Hadoop's file systems that pyarrow knows by another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfs", "wasb": "abfs", "abfss": "abfs"}
+
+
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder that Spark names by URI, for Python tasks, and the path there."""
+    scheme, sign, rest = path.partition("://")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{sign}{rest}")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -53,6 +69,24 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer splits than there are cores dealt to all of them; any larger one as it is, so nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def placed(df: DataFrame, is_scan: bool) -> tuple[DataFrame, Column, Column]:
+    """df, and columns with a hash of each row's file and the row's number in it, which stay the same however a scan is
+    cut into tasks. is_scan says that df reads Parquet files as they are; any other is written as a table first.
+
+    A file is known by its path, size and time of change.
+    """
+    df = df if is_scan else settled(df, "texts")
+    meta = df.metadataColumn("_metadata")
+    what = F.concat_ws("|", meta["file_path"], meta["file_size"].cast("string"), F.unix_micros(meta["file_modification_time"]).cast("string"))
+    return df, F.xxhash64(what), meta["row_index"]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of df has, whatever the case of its letters."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanguard.llm.common import batch_of, bounded_batches, documents, rows_of, scratch, slices
+from gleanguard.llm.common import batch_of, bounded_batches, documents, opened, rows_of, scratch, slices
 from gleanguard.llm.tokens import LibraryIds, once
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -70,7 +70,8 @@ def write_records(df: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
 
     Files part-N.rec hold ascending ranges of doc_id in ascending N. Returns one row per file (part, path,
     records, ids, start: ids in all files before it); their number is the number of shuffle partitions. Null or
-    empty texts have end_id alone; null doc_ids come first; repeated rows are written as often as they occur.
+    empty texts have end_id alone; null doc_ids come first; repeated rows are written as often as they occur, equal
+    ids in the order of their texts. A long text is one record. An empty table gives no files. Other columns are not read.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -79,7 +80,7 @@ def write_records(df: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
         part = TaskContext.get().partitionId()
         encoder = once(LibraryIds, vocabulary)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        fs, base = pafs.FileSystem.from_uri(path)
+        fs, base = opened(path)
         fs.create_dir(base, recursive=True)
         name, attempt = f"{base}/part-{part:06d}", uuid.uuid4().hex
         end = np.array([end_id], "<u4").tobytes()
@@ -140,7 +141,7 @@ def read_records(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, start in rows_of(batches, "path", "start"):
-            fs, name = pafs.FileSystem.from_uri(path)
+            fs, name = opened(path)
             rows = [(i, start + b, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for i, ids, b in read_at(fs, name, read_index(fs, name))]
             yield batch_of(_OUT, list(zip(*rows, strict=True)))
 

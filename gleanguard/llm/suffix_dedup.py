@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanguard.llm.common import batch_of, bounded_batches, documents, fresh, rows_of, scratch, settled, slices
+from gleanguard.llm.common import batch_of, bounded_batches, documents, fresh, opened, placed, rows_of, scratch, settled, slices
 from gleanguard.llm.tokens import forget
 
 LENGTH, GRAM, STEP, BLOCK = 200, 32, 128, 16
@@ -137,19 +137,15 @@ def window_ranks(raw: bytes, span: int, block: int) -> list[tuple[int, int]]:
 
 
 def _placed(df: DataFrame, is_scan: bool) -> tuple[DataFrame, Broadcast, tuple[str, str]]:
-    """df and where each of its rows lies (file, row), the files' numbers by hash of what they are, and the two columns' names.
+    """df and where each of its rows lies (file, row), the files' numbers, and the two columns' names.
 
-    A file is known by its path, size and time of change, so a pass that meets another file than the first one did
-    stops. The driver holds one number for each file, less than its own listing of them.
+    A pass that meets another file than the first one did, or one that has changed, stops. The driver holds one number
+    for each file, less than its own listing of them.
     """
-    df = df if is_scan else settled(df, "texts")
-    meta, names = df.metadataColumn("_metadata"), tuple(fresh(df, "_file", "_row"))
-    what = F.concat_ws("|", meta["file_path"], meta["file_size"].cast("string"), F.unix_micros(meta["file_modification_time"]).cast("string"))
-    files = sorted(tuple(r) for r in df.select(what.alias("what"), F.xxhash64(what).alias("hash")).distinct().collect())
-    numbers = {h: k << 32 for k, (_, h) in enumerate(files)}
-    if len(numbers) < len(files):
-        raise ValueError("two files have one hash")
-    return df.select("*", F.xxhash64(what).alias(names[0]), meta["row_index"].alias(names[1])), df.sparkSession.sparkContext.broadcast(numbers), names
+    names = tuple(fresh(df, "_file", "_row"))
+    df, file, row = placed(df, is_scan)
+    files = sorted(r[0] for r in df.select(file.alias("file")).distinct().collect())
+    return df.select("*", file.alias(names[0]), row.alias(names[1])), df.sparkSession.sparkContext.broadcast({f: k << 32 for k, f in enumerate(files)}), names
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], numbers: Broadcast, names: tuple[str, str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -180,7 +176,7 @@ class _Side:
         return self.rows, int(first), int(last)
 
     def _read(self) -> dict[str, np.ndarray]:
-        fs, base = pafs.FileSystem.from_uri(f"{self.path}/chunk={self.chunk}")
+        fs, base = opened(f"{self.path}/chunk={self.chunk}")
         if fs.get_file_info(base).type == pafs.FileType.NotFound:
             return {n: np.zeros(0, np.int64) for n in self.names}
         files = [f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")]

@@ -207,22 +207,67 @@ def test_dropping_passages_keeps_characters_whole(spark):
     assert repeated_passages(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_shards(spark):
-    texts = [None, "", "ä"] + [f"text {k}" * (k % 7) for k in range(500)] + ["hot"] * 200
-    rows = write_shards(docs_of(spark, texts), scratch(spark, "test"), bucket_bytes=1000).collect()
-    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
-    assert all(r["text"] == texts[r["doc_id"]] for r in rows)
+def test_shards(spark, tmp_path):
+    """Against a plain dealing of each bucket; null, repeated and tied rows, and one text in a third of all rows."""
+    from gleanguard.llm.sharding import op9_sharding
+
+    texts = [None, "", "ä"] + [f"text {k}" * (k % 7) for k in range(500)] + ["hot"] * 250
+    ids = [None if k >= 503 else k // 2 for k in range(len(texts))]
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = write_shards(docs, scratch(spark, "test"), bucket_bytes=1000, is_scan=True).collect()
+    pairs = lambda rows_: Counter((r["doc_id"], r["text"]) for r in rows_)
+    assert pairs(rows) == Counter(zip(ids, texts, strict=True))
     by = defaultdict(list)
     for r in rows:
         by[r["shard"]].append(r["slot"])
     assert set(by) == set(range(8))
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
-    again = write_shards(docs_of(spark, texts), scratch(spark, "test"), bucket_bytes=1000).collect()
+    again = write_shards(docs, scratch(spark, "test"), bucket_bytes=1000, is_scan=True).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, rows), key=str)
-    order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["slot"], r["shard"]))]
+    other = write_shards(docs, scratch(spark, "test"), seed=7, bucket_bytes=1000, is_scan=True).collect()
+    assert sorted(map(tuple, other), key=str) != sorted(map(tuple, rows), key=str)
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["slot"], r["shard"])) if r["doc_id"] is not None]
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.2
-    assert write_shards(docs_of(spark, ["a"]).limit(0), scratch(spark, "test")).count() == 0
+    hot = np.bincount([r["shard"] for r in rows if r["text"] == "hot"], minlength=8)
+    assert hot.max() - hot.min() < 30
+    out = op9_sharding(spark, str(tmp_path)).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None) for i, t in zip(ids, texts, strict=True))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in out) == want
+    assert sorted((r["slot"], r["shard"]) for r in out) == [(k // 8, k % 8) for k in range(len(texts))]
+    assert write_shards(docs.limit(0), scratch(spark, "test")).count() == 0
+    long = spark.createDataFrame([(1, "x" * 3_000_000), (1, "x" * 3_000_000), (2, None)], "doc_id long, text string")
+    assert [len(r["text"] or "") for r in write_shards(long, scratch(spark, "test"), bucket_bytes=1000).orderBy("doc_id").collect()] == [3_000_000, 3_000_000, 0]
+
+
+def test_buckets_are_dealt_by_fisher_yates(spark, tmp_path):
+    """One bucket: the sorted records in numpy's order, dealt round the shards."""
+    from gleanguard.llm.sharding import SEED
+
+    texts = [f"t{k}" for k in range(90)]
+    docs_of(spark, texts).select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "d"))
+    scan = spark.read.parquet(str(tmp_path / "d"))
+    from pyspark.sql import functions as F
+
+    from gleanguard.llm.common import placed
+
+    _, file, row = placed(scan, True)
+    given = [r["doc_id"] for r in scan.select("doc_id", F.xxhash64(file, row, F.lit(SEED)).alias("k")).orderBy("k").collect()]
+    want = [given[k] for k in np.random.default_rng((SEED, 0)).permutation(90)]
+    got = {(r["slot"], r["shard"]): r["doc_id"] for r in write_shards(scan, scratch(spark, "test"), is_scan=True).collect()}
+    assert [got[k // 8, k % 8] for k in range(90)] == want
+
+
+def test_a_cluster_without_shared_folder_is_refused(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from gleanguard.llm import common
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getConf=lambda: {}, master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(fake)
 
 
 def test_crc_of_spark_is_pythons(spark):
