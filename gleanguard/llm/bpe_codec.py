@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of
+from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of, spread
 from gleanguard.llm.merging import MergeTable
 from gleanguard.llm.tokens import Pieces, once, vocabulary_path
 
@@ -164,4 +164,4 @@ def encoding_digests(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_digests(documents(spark, sf_dir))
+    return encoding_digests(spread(documents(spark, sf_dir)))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of
+from gleanguard.llm.common import batch_of, blocks, bounded_batches, documents, rows_of, spread
 from gleanguard.llm.bpe_codec import byte_characters
 from gleanguard.llm.merging import MergeTable
 from gleanguard.llm.tokens import Pieces, once, plain_letters, vocabulary_path
@@ -118,4 +118,4 @@ def count_tokens(df: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(documents(spark, sf_dir))
+    return count_tokens(spread(documents(spark, sf_dir)))
