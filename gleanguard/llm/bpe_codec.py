@@ -133,7 +133,8 @@ class ForcedBoundaryCodec(Pieces):
 
 def encode_decode(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids array<int>, decoded) of every row of (doc_id, text). A null text counts as empty: no ids and an
-    empty text. Rows are independent of each other; other columns are not read."""
+    empty text. Rows are independent of each other, so null and repeated ids are rows like others; long texts are encoded
+    whole; an empty table gives no rows. Other columns are not read."""
     bounded_batches(df.sparkSession)
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 

@@ -87,6 +87,19 @@ def placed(df: DataFrame, is_scan: bool) -> tuple[DataFrame, Column, Column]:
     return df, F.xxhash64(what), meta["row_index"]
 
 
+def ranged(df: DataFrame, is_scan: bool, descending: bool = False) -> DataFrame:
+    """(doc_id, text) in ranges of doc_id, ascending with null ids first, or descending with null ids last, in each task.
+
+    Rows of one id, or of none, are ordered by file and row where df is a scan of Parquet files, so that any number of
+    them is dealt over ranges; else by text, and they stay in one range.
+    """
+    by = F.col("doc_id").desc_nulls_last() if descending else F.col("doc_id").asc_nulls_first()
+    if not is_scan:
+        return df.select("doc_id", "text").repartitionByRange(by).sortWithinPartitions(by, F.col("text").asc_nulls_first())
+    rows, file, row = placed(df.select("doc_id", "text"), True)
+    return rows.select("doc_id", "text", file.alias("file"), row.alias("row")).repartitionByRange(by, "file", "row").sortWithinPartitions(by, "file", "row").select("doc_id", "text")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of df has, whatever the case of its letters."""
     taken, out = {c.lower() for c in df.columns}, []

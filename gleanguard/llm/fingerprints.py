@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanguard.llm.common import batch_of, bounded_batches, documents, rows_of, settled
+from gleanguard.llm.common import batch_of, bounded_batches, documents, ranged, rows_of, settled
 
 K, S = 16, 8
 SKETCH = 64
@@ -106,12 +106,13 @@ def _row(doc_id, text: str, own: np.ndarray, following: str, next_sketch: np.nda
     return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), packed(own), packed(other), likeness(own, other), likeness(own, next_sketch)
 
 
-def fingerprint_documents(df: DataFrame) -> DataFrame:
+def fingerprint_documents(df: DataFrame, is_scan: bool = False) -> DataFrame:
     """For every row of (doc_id, text) its fingerprint, that of its edited text, and likenesses (see op2_fingerprints).
 
-    The next document is the one with the next smaller doc_id, after the last the first; rows with equal ids
-    follow by text, null ids come last, and a table of one row has that row as its next. A null text counts as
-    empty. Other columns are not read.
+    The next document is the one with the next smaller doc_id, after the last the first; null ids come last, rows
+    with equal ids follow in the order that common.ranged gives (is_scan: df reads Parquet files as they are), and a
+    table of one row has that row as its next; an empty table gives no rows. A null text counts as empty; a long text is
+    looked through whole. Other columns are not read.
 
     Each task holds one range of ids in descending order and one document at a time. The last document of a
     range meets the first of the following one in a second step over two rows for each range.
@@ -143,9 +144,7 @@ def fingerprint_documents(df: DataFrame) -> DataFrame:
             if rows:
                 yield batch_of(pa.schema(list(_OUT)[:7]), list(zip(*rows, strict=True)))
 
-    down = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    ordered = df.select("doc_id", "text").repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*down)
-    made = settled(ordered.mapInArrow(run, f"{_RESULT}, kind string, part long, text string"), "fingerprints")
+    made = settled(ranged(df, is_scan, descending=True).mapInArrow(run, f"{_RESULT}, kind string, part long, text string"), "fingerprints")
     parts = sorted(r[0] for r in made.where("kind = 'first'").select("part").collect())
     follows = spark.createDataFrame([(p, parts[(k + 1) % len(parts)]) for k, p in enumerate(parts)], "part long, after long")
     first = made.where("kind = 'first'").select(F.col("part").alias("after"), F.col("text").alias("following"))
@@ -156,4 +155,4 @@ def fingerprint_documents(df: DataFrame) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(documents(spark, sf_dir))
+    return fingerprint_documents(documents(spark, sf_dir), is_scan=True)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanguard.llm.common import batch_of, bounded_batches, documents, slices
+from gleanguard.llm.common import batch_of, bounded_batches, documents, ranged, slices
 from gleanguard.llm.tokens import LibraryIds, once
 
 VOCABULARY = "word_bpe_49k.json"
@@ -136,13 +136,15 @@ class Packer:
         return out
 
 
-def pack(df: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end_id: int = END_ID, remembered: int = 500_000) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end_id: int = END_ID, remembered: int = 500_000, is_scan: bool = False) -> DataFrame:
     """Pieces of all documents of (doc_id, text), in sequences of at most `window` ids.
 
     Each document is its text's ids and end_id, so an empty or null text is end_id alone and no document lacks a
-    piece. Repeated rows are packed as often as they occur; equal or null doc_ids are ordered by text, nulls first.
-    sequence_id grows in the documents' order and is not gapless from one range to the next; offset is gapless
-    from 0 in each sequence. remembered bounds a worker's table of known pieces, at some 400 bytes each. padded_length is the window, or the sequence's own length where that is a power of two.
+    piece; an empty table gives none. Repeated rows are packed as often as they occur; rows with equal or null ids are
+    ordered as common.ranged says (is_scan: df reads Parquet files as they are). A long text is cut over as many
+    sequences as it needs. Other columns are not read. sequence_id grows in the documents' order and is not gapless from
+    one range to the next; offset is gapless from 0 in each sequence. padded_length is the window, or the sequence's own
+    length where that is a power of two. remembered bounds a worker's table of known pieces, at some 400 bytes each.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -160,9 +162,8 @@ def pack(df: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, end_
         if rows := packer.plan(True):
             yield batch_of(_OUT, list(zip(*rows, strict=True)))
 
-    ordered = df.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, SCHEMA)
+    return ranged(df, is_scan).mapInArrow(run, SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), is_scan=True)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanguard.llm.common import batch_of, bounded_batches, documents, opened, rows_of, scratch, slices
+from gleanguard.llm.common import batch_of, bounded_batches, documents, opened, ranged, rows_of, scratch, slices
 from gleanguard.llm.tokens import LibraryIds, once
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -65,13 +65,13 @@ def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=_HEAD.size)
 
 
-def write_records(df: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
+def write_records(df: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, is_scan: bool = False) -> DataFrame:
     """Writes the ids of (doc_id, text), end_id after each document, below a path that all executors share.
 
     Files part-N.rec hold ascending ranges of doc_id in ascending N. Returns one row per file (part, path,
     records, ids, start: ids in all files before it); their number is the number of shuffle partitions. Null or
-    empty texts have end_id alone; null doc_ids come first; repeated rows are written as often as they occur, equal
-    ids in the order of their texts. A long text is one record. An empty table gives no files. Other columns are not read.
+    empty texts have end_id alone; null doc_ids come first; repeated rows are written as often as they occur, rows
+    with equal ids in the order that common.ranged gives (is_scan: df reads Parquet files as they are). A long text is one record. An empty table gives no files. Other columns are not read.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -106,8 +106,7 @@ def write_records(df: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
         fs.move(f"{name}.{attempt}.tmp", f"{name}.rec")
         yield batch_of(_FILE, [[part], [f"{path}/part-{part:06d}"], [len(index)], [before]])
 
-    ordered = df.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    written = sorted(ordered.mapInArrow(run, "part long, path string, records long, ids long").collect())
+    written = sorted(ranged(df, is_scan).mapInArrow(run, "part long, path string, records long, ids long").collect())
     starts = np.cumsum([0, *(w["ids"] for w in written)]).tolist()
     rows = [(*w, s) for w, s in zip(written, starts, strict=False)]
     return spark.createDataFrame(rows, "part long, path string, records long, ids long, start long")
@@ -151,4 +150,4 @@ def read_records(files: DataFrame) -> DataFrame:
 
 
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_records(write_records(documents(spark, sf_dir), scratch(spark, "records")))
+    return read_records(write_records(documents(spark, sf_dir), scratch(spark, "records"), is_scan=True))
