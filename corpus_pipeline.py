@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
 columns of documents; the last returns the packed pieces.
+
+In every stage a null text counts as empty and comes through as null; rows without id or with a repeated one are rows like
+others; texts of any length are read whole; an empty table gives an empty table; columns beside doc_id and text may have
+any names and come through as they are (but n_chars, which counts anew where passages go). Each function says which of tied
+and repeated rows stay.
 """
 
 from __future__ import annotations
@@ -17,28 +22,32 @@ from gleanguard.llm.toxicity import drop_toxic, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts 1 for go; it learns from the labelled documents among docs."""
+    """Documents that the classifier predicts 1 for go; it learns from the labelled documents among docs. Equal texts stay
+    or go together; without labels all stay."""
     return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
+    """Of equal texts (after white space) the row with the smallest doc_id stays, null ids last; of rows that repeat it, one."""
     return drop_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest doc_id stays."""
+    """Of each class of linked documents the one with the smallest doc_id stays, null ids last; of rows that repeat it, one.
+    Texts without words are one class."""
     return drop_near_duplicates(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 200 bytes or more that occur elsewhere; docs is a table of files."""
+    """Texts without the passages of 200 bytes or more that occur elsewhere; docs is a table of files. All rows stay, those
+    whose text goes altogether with an empty one."""
     return drop_repeated_passages(docs, is_scan=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences; a smaller table, as workers have lived through the other stages."""
-    return pack(docs, remembered=200_000)
+    """Pieces of all documents in sequences, an empty text's too; a smaller table, as workers have lived through the other
+    stages. docs is a table of files."""
+    return pack(docs, remembered=200_000, is_scan=True)
 
 
 STAGES = [
