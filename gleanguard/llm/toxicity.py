@@ -41,6 +41,8 @@ LEAST_ROWS = 4
 EPOCHS, BATCH, RATE, L1, GROUP_L1 = 12, 256, 0.1, 1e-3, 3e-3
 #: A small sample is gone over more often, until so many batches were learned from.
 LEAST_BATCHES = 600
+#: Places that are scored together.
+TOGETHER = 1 << 17
 SEED = 3
 _WORD = re.compile(r"[^\W_]+")
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -89,6 +91,7 @@ class FactorizationMachine:
         self._wide: tuple | None = None
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, group_l1: float = GROUP_L1) -> FactorizationMachine:
+        """Learns from rows of places and their labels; the list `rows` is used up."""
         if not len(rows):
             return self
         rng, factors = np.random.default_rng(seed), self.v.shape[1]
@@ -98,7 +101,8 @@ class FactorizationMachine:
         self.at = np.nonzero(seen >= LEAST_ROWS)[0]
         own = np.full(BUCKETS, -1, np.int32)
         own[self.at] = np.arange(len(self.at))
-        rows = [(p := own[r])[p >= 0] for r in rows]
+        for k, r in enumerate(rows):  # in place, so that a large sample is held once
+            rows[k] = (p := own[r])[p >= 0]
         n = len(self.at)
         w, v = np.zeros(n), rng.normal(0, 0.01, (n, factors))
         gw, gv, gb = np.full(n, 1e-6), np.full(n, 1e-6), 1e-6
@@ -134,7 +138,8 @@ class FactorizationMachine:
         kept = (w != 0) | (v != 0).any(1)
         spare = self.__class__(factors)
         spare.bias, spare.at, spare.w, spare.v = 0.0, self.at[kept], w[kept], v[kept]
-        bias = -best_threshold(spare.logits([self.at[r] for r in rows]), labels)
+        z = np.concatenate([spare.logits([self.at[r] for r in rows[k : k + BATCH]]) for k in range(0, len(rows), BATCH)])
+        bias = -best_threshold(z, labels)
         self.bias, self.at, self.w, self.v = float(bias), self.at[kept], w[kept].astype(np.float32), v[kept].astype(np.float32)
         return self
 
@@ -148,14 +153,21 @@ class FactorizationMachine:
         return self._wide[2]
 
     def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Of each row of places; TOGETHER places, or one row, at a time."""
         own, w, v = self._spread()
-        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        k = own[np.concatenate(rows)] if len(rows) else own[:0]
-        known = k < len(self.at)
-        of, k = of[known], k[known]
-        vk, sum_of = v[k], lambda x: np.bincount(of, x, len(rows))
-        pairs = sum(sum_of(vk[:, f]) ** 2 for f in range(v.shape[1])) - sum_of((vk * vk).sum(1))
-        return self.bias + sum_of(w[k]) + 0.5 * pairs
+        sizes = np.array([len(r) for r in rows], np.int64)
+        part = np.cumsum(sizes) // TOGETHER
+        edges = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), len(rows)]
+        out = np.full(len(rows), self.bias)
+        for a, b in zip(edges, edges[1:], strict=False):
+            if not sizes[a:b].sum():
+                continue
+            of, k = np.repeat(np.arange(b - a), sizes[a:b]), own[np.concatenate(rows[a:b])]
+            known = k < len(self.at)
+            of, k = of[known], k[known]
+            vk, sum_of = v[k], lambda x, of=of, n=b - a: np.bincount(of, x, n)
+            out[a:b] += sum_of(w[k]) + 0.5 * (sum(sum_of(vk[:, f]) ** 2 for f in range(v.shape[1])) - sum_of((vk * vk).sum(1)))
+        return out
 
     def packed(self) -> list[bytes]:
         return [np.array([self.bias], "<f8").tobytes(), self.at.astype("<i8").tobytes(), self.w.astype("<f4").tobytes(), self.v.astype("<f4").tobytes()]
