@@ -44,11 +44,24 @@ def plain_syncmers(text, k=16, s=8):
     return out
 
 
+def plain_sketch(text, size=fp.SKETCH):
+    """{hash: first place} of the smallest hashes, places in units, and the unit."""
+    first, unit = {}, 0
+    for at, h in plain_syncmers(text):
+        first.setdefault(h >> 32, at)
+    while len(text) >> unit > 255:
+        unit += 1
+    return {h: first[h] >> unit for h in sorted(first)[:size]}, unit
+
+
 def plain_likeness(a, b, size=fp.SKETCH):
-    low = lambda text: set(sorted({h >> 32 for _, h in plain_syncmers(text)})[:size])
-    a, b = low(a), low(b)
-    union = sorted(a | b)[:size]
-    return sum(h in a and h in b for h in union) / len(union)
+    (a, one), (b, two) = plain_sketch(a), plain_sketch(b)
+    union = sorted({*a, *b})[:size]
+    shift = {h: (b[h] << two) - (a[h] << one) for h in union if h in a and h in b}
+    if len(a) == 1 or len(b) == 1:
+        return len(shift) / len(union)
+    near = lambda h: any(g != h and abs(shift[g] - shift[h]) <= fp.TOLERANCE << max(one, two) for g in shift)
+    return sum(near(h) for h in shift) / len(union)
 
 
 def test_fingerprints_by_their_definition(spark):
@@ -61,13 +74,31 @@ def test_fingerprints_by_their_definition(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in fp.fingerprint_documents(rows).collect():
         t, n = texts[r["doc_id"]], texts[(r["doc_id"] - 1) % len(texts)]
-        low = sorted({h >> 32 for _, h in plain_syncmers(t)})[: fp.SKETCH]
-        assert r["fingerprint"] == "".join(f"{h:08x}" for h in low)
+        low, unit = plain_sketch(t)
+        assert r["fingerprint"] == f"{unit:02x}" + "".join(f"{h:08x}" for h in low) + "".join(f"{p:02x}" for p in low.values())
         half = len(t) // 2
         assert abs(r["near_edited"] - plain_likeness(t, t[: len(t) - half] + n[:half])) < 1e-9
         assert abs(r["near_next"] - plain_likeness(t, n)) < 1e-9
 
 
+def test_likeness_goes_by_position():
+    rng = random.Random(13)
+    drawn = lambda n: "".join(rng.choices("abcdefghijkl ", k=n))
+    passage = drawn(800)
+    one, two = passage + drawn(300), drawn(500) + passage
+    assert abs(fp.likeness(fp.sketch(one), fp.sketch(two)) - plain_likeness(one, two)) < 1e-9
+    assert fp.likeness(fp.sketch(one), fp.sketch(two)) > 0.3  # moved as a whole
+    shared = [passage[k : k + 40] for k in range(0, 800, 40)]
+    rng.shuffle(shared)
+    torn = "".join(x + drawn(rng.randint(0, 150)) for x in shared)
+    assert fp.likeness(fp.sketch(passage), fp.sketch(torn)) < len(set(fp.sketch(passage).hashes) & set(fp.sketch(torn).hashes)) / fp.SKETCH
+    for n in (1, 15, 16, 20, 22, 255, 256, 5000, 70_000):
+        t, other = fp.sketch(drawn(n)), fp.sketch(drawn(n))
+        assert len(t.hashes) and fp.likeness(t, t) == 1 and fp.likeness(t, other) < 0.1
+    bare = [t for t in (drawn(16) for _ in range(60)) if not plain_syncmers(t)]
+    assert len({fp.packed(fp.sketch(t)) for t in bare}) == len(bare) > 1  # without a syncmer, and told apart
+
+
 def test_fingerprints_of_a_long_text(spark):
     rng = random.Random(12)
     long = "".join(rng.choices("abcdefgh ijkl", k=400_000))
