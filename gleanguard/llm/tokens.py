@@ -73,22 +73,27 @@ class Pieces:
     def worth(self, pieces: list[str]) -> list:
         raise NotImplementedError
 
+    def made(self, pieces: list[str]) -> list:
+        """Values of pieces as byte_pieces gives them."""
+        return self.worth(list(map(as_text, pieces)) if self.spaced else pieces)
+
     def _lookup(self, pieces: list[str]) -> list:
         """Values of different pieces."""
         if len(self.known) > self.remembered:
             self.old, self.known, self.met = self.known, self.met, {}
         found = list(map(self.known.get, pieces))
-        old, late, new, at = self.old.get, [], [], -1
-        for _ in range(found.count(None)):
-            at = found.index(None, at + 1)
-            piece = pieces[at]
-            if (v := old(piece)) is not None:
-                found[at] = self.known[piece] = self.met[piece] = v
-            else:
-                late.append(at)
-                new.append(piece)
-        if new:
-            made = self.worth(list(map(as_text, new)) if self.spaced else new)
+        late = [k for k, v in enumerate(found) if v is None]
+        if late and self.old:
+            old, unknown = self.old.get, []
+            for at in late:
+                if (v := old(pieces[at])) is None:
+                    unknown.append(at)
+                else:
+                    found[at] = self.known[pieces[at]] = self.met[pieces[at]] = v
+            late = unknown
+        if late:
+            new = [pieces[at] for at in late]
+            made = self.made(new)
             self.known.update(zip(new, made, strict=True))
             for at, v in zip(late, made, strict=True):
                 found[at] = v
@@ -110,7 +115,7 @@ class Pieces:
             lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         coded = lists.values.dictionary_encode()
         numbers, offsets = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
         if len(unsure):
             place = {p: k for k, p in enumerate(pieces)}
             parts = np.split(numbers, offsets[1:-1])
@@ -187,39 +192,51 @@ class LibraryIds(Pieces):
             if len(edges) != len(own):
                 out += self._one_by_one([before + w if self.spaced else w for w in own])
                 continue
-            ends = (np.append(edges[1:], len(ids)) if self.spaced else edges + 1) * 4
-            raw, begun = ids.tobytes(), 0
-            for end in ends.tolist():
-                out.append(raw[begun:end])
-                begun = end
+            ends = ((np.append(edges[1:], len(ids)) if self.spaced else edges + 1) * 4).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
-    def worth(self, pieces: list[str]) -> list[bytes]:
-        words: dict[str, dict[str, int]] = {" ": {}, "\n": {}}
-        known = self.known.get
+    def made(self, pieces: list[str]) -> list[bytes]:
+        known, lowers, any_letters = self.known.get, self.lowers, self.spaced
         out: list = [None] * len(pieces)
-        others, dealt = [], []
+        # of pieces of letters, by what stands before: different words; then places in out, their words, and stops
+        words: dict[str, dict[str, int]] = {" ": {}, "\n": {}}
+        dealt: dict[str, tuple[list[int], list[int]]] = {" ": ([], []), "\n": ([], [])}
+        stopped, others = [], []
         for k, piece in enumerate(pieces):
-            before, word = (piece[:1], piece[1:]) if self.spaced else (" ", piece)
-            stop = b""
-            if word[-1:] in self.stops:
-                stop, word = self.stops[word[-1]], word[:-1]
-                # the same letters without a stop may be known already
-                if before in words and word.isalpha() and (v := known(word if before == " " else piece[:-1])) is not None:
-                    out[k] = v + stop
+            word, before, stop = piece, " ", ""
+            if not word.isalpha():
+                if word[-1:] in self.stops:
+                    word, stop = word[:-1], word[-1]
+                    # the same letters without a stop may be known already
+                    if (v := known(word)) is not None and word.lstrip("\n").isalpha():
+                        out[k] = v + self.stops[stop]
+                        continue
+                if any_letters and word[:1] == "\n":
+                    word, before = word[1:], "\n"
+                if not word.isalpha():
+                    others.append(k)
                     continue
-            if self.whole and before in words and word.isalpha() and (self.spaced or plain_letters(word)):
-                if self.lowers:
-                    word = word.lower()
-                own = words[before]
-                dealt.append((k, before, own.setdefault(word, len(own)), stop))
-            else:
+            if not self.whole or not (any_letters or plain_letters(word)):
                 others.append(k)
-        for k, v in zip(others, self._one_by_one([pieces[k] for k in others]), strict=True):
+                continue
+            if lowers:
+                word = word.lower()
+            own = words[before]
+            at, which = dealt[before]
+            at.append(k)
+            which.append(own.setdefault(word, len(own)))
+            if stop:
+                stopped.append((k, stop))
+        for k, v in zip(others, self._one_by_one([as_text(pieces[k]) if self.spaced else pieces[k] for k in others]), strict=True):
             out[k] = v
-        found = {before: self._words(list(own), before) for before, own in words.items()}
-        for k, before, w, stop in dealt:
-            out[k] = found[before][w] + stop
+        for before, (at, which) in dealt.items():
+            found = self._words(list(words[before]), before)
+            for k, w in zip(at, which, strict=True):
+                out[k] = found[w]
+        for k, stop in stopped:
+            out[k] += self.stops[stop]
         return out
 
     def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
