@@ -15,6 +15,7 @@ import gc
 import json
 import os
 import re
+import string
 import unicodedata
 
 import numpy as np
@@ -27,6 +28,8 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 _UNSURE = re.compile(r"\s\s|\0")
 #: More texts than _UNSURE finds, in RE2's syntax: two white spaces together, or any of the unusual ones.
 _UNSURE_RE2 = r"[\t-\r ][\t-\r ]|[\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Marks that no contraction begins with.
+_MARKS = string.punctuation.replace("'", "")
 #: What a piece begins with that is a text's beginning as it stands.
 AS_IS = "\0"
 
@@ -152,12 +155,14 @@ class LibraryIds(Pieces):
     """Ids by the tokenizers library, as little-endian unsigned 32-bit bytes.
 
     Pieces of letters alone are one pre-token each; they go to the library many in one text, and the ids are
-    dealt back at tokens that end (or start) a word. A comma or full stop after letters is a pre-token of its own.
-    All other pieces go to the library one by one.
+    dealt back at tokens that end (or start) a word. Marks after letters are a pre-token of their own, where the
+    vocabulary's pre-tokenizer says so. All other pieces go to the library one by one.
     """
 
     #: Words that go to the library as one text.
     TOGETHER = 2000
+    #: Different runs of marks that are remembered.
+    TAILS = 10_000
 
     def __init__(self, vocabulary: str, remembered: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -175,12 +180,23 @@ class LibraryIds(Pieces):
         self.edge[[i for t, i in vocab.items() if (t[0] == "\u0120" if spaced else t.endswith(self.suffix or "\0"))]] = True
         self.whole = spaced or bool(self.suffix)
         self.line_feed = vocab.get("\u010a", -1)
-        self.stops = {c: self._one_by_one([c])[0] for c in ",."}
+        self.tails: dict[str, bytes] = {}
         super().__init__(spaced, remembered)
 
     def _one_by_one(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _tail(self, marks: str) -> bytes:
+        """Ids of marks that follow letters; none where they are not a pre-token of their own there."""
+        text = "a" + marks
+        if self.tokenizer.normalizer:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        alone = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] == ["a", marks]
+        if len(self.tails) >= self.TAILS:
+            self.tails.clear()
+        self.tails[marks] = self._one_by_one([marks])[0] if alone else b""
+        return self.tails[marks]
+
     def _words(self, words: list[str], before: str = " ") -> list[bytes]:
         """Ids of words of letters, in the byte-level case with what stands before each."""
         texts = [before + before.join(words[k : k + self.TOGETHER]) for k in range(0, len(words), self.TOGETHER)]
@@ -198,20 +214,25 @@ class LibraryIds(Pieces):
         return out
 
     def made(self, pieces: list[str]) -> list[bytes]:
-        known, lowers, any_letters = self.known.get, self.lowers, self.spaced
+        known, tails, lowers, any_letters = self.known.get, self.tails.get, self.lowers, self.spaced
         out: list = [None] * len(pieces)
-        # of pieces of letters, by what stands before: different words; then places in out, their words, and stops
+        # of pieces of letters, by what stands before: different words; then places in out, their words, and ids of marks
         words: dict[str, dict[str, int]] = {" ": {}, "\n": {}}
         dealt: dict[str, tuple[list[int], list[int]]] = {" ": ([], []), "\n": ([], [])}
-        stopped, others = [], []
+        tailed, others = [], []
         for k, piece in enumerate(pieces):
-            word, before, stop = piece, " ", ""
+            word, before, tail = piece, " ", b""
             if not word.isalpha():
-                if word[-1:] in self.stops:
-                    word, stop = word[:-1], word[-1]
-                    # the same letters without a stop may be known already
-                    if (v := known(word)) is not None and word.lstrip("\n").isalpha():
-                        out[k] = v + self.stops[stop]
+                word = piece.rstrip(_MARKS)
+                if marks := piece[len(word) :]:
+                    if (tail := tails(marks)) is None:
+                        tail = self._tail(marks)
+                    if not tail:
+                        others.append(k)
+                        continue
+                    # the same letters without marks may be known already
+                    if (v := known(word)) is not None and word.lstrip("\n").isalpha() and (any_letters or plain_letters(word)):
+                        out[k] = v + tail
                         continue
                 if any_letters and word[:1] == "\n":
                     word, before = word[1:], "\n"
@@ -227,16 +248,16 @@ class LibraryIds(Pieces):
             at, which = dealt[before]
             at.append(k)
             which.append(own.setdefault(word, len(own)))
-            if stop:
-                stopped.append((k, stop))
+            if tail:
+                tailed.append((k, tail))
         for k, v in zip(others, self._one_by_one([as_text(pieces[k]) if self.spaced else pieces[k] for k in others]), strict=True):
             out[k] = v
         for before, (at, which) in dealt.items():
             found = self._words(list(words[before]), before)
             for k, w in zip(at, which, strict=True):
                 out[k] = found[w]
-        for k, stop in stopped:
-            out[k] += self.stops[stop]
+        for k, tail in tailed:
+            out[k] += tail
         return out
 
     def ids(self, texts: list[str] | pa.Array) -> list[bytes]:

@@ -50,6 +50,18 @@ def test_known_words_before_stops(name):
         assert [ids_of(b) for b in encoder.ids(block)] == [reference(t) for t in block]
 
 
+@pytest.mark.parametrize("name", [BYTES, WORDS])
+def test_marks_behind_letters(name):
+    _, reference = library(name)
+    encoder = LibraryIds(name)
+    encoder.TAILS = 20
+    rng = random.Random(9)
+    words = ["Word", "word", "É", "İ", "Σς", "a\u0301", "don", "<|endoftext", "x9", ""]
+    some = ["".join(rng.choice(" \n") + rng.choice(words) + "".join(rng.choice("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for _ in range(rng.randint(0, 3))) for _ in range(6)) for _ in range(3000)]
+    for block in (words, some[:10], some):
+        assert [ids_of(b) for b in encoder.ids(block)] == [reference(t) for t in block]
+
+
 def test_pieces_survive_a_full_table():
     _, reference = library(WORDS)
     encoder = LibraryIds(WORDS)
