@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 
 from gleanguard.llm.common import blocks, bounded_batches, documents, fresh, rows_of, settled
 from gleanguard.llm.components import components
-from gleanguard.llm.tokens import Pieces, once
+from gleanguard.llm.tokens import Pieces, forget, once, tidy
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Hash functions at most.
 MINIMA = 160
+#: Bytes of a group of work from which on its memory is given back at once, as workers idle through the stages that follow.
+LARGE = 8 << 20
 #: Rows and n-grams (of eight bytes) of a block, about.
 BLOCK, BLOCK_GRAMS = 256, 1 << 20
 SEED = 5
@@ -188,6 +190,7 @@ def forest(edges: list[tuple[int, np.ndarray]], n: int) -> list[tuple[int, int]]
 
 def _pairs_of(key, table: pa.Table, threshold: float) -> pa.Table:
     """Of one pair of a bucket's blocks: rows (set_id, None, links) and edges (set_id, other, 0) of a spanning forest."""
+    forget()  # the words' table, which the stages from here on don't need
     names, blocks_of = table.column("set_id").to_pylist(), table.column("block").to_pylist()
     order = [k for _, k in sorted({(blocks_of[k], names[k]): k for k in range(len(names))}.items())]  # whatever order they came in
     table = table.take(pa.array(order, pa.int64()))
@@ -246,13 +249,19 @@ def _known(df: DataFrame, n: int, threshold: float, recall: float) -> tuple[Data
                 part = part.drop_columns(["text", "bands"]).append_column("bands", pa.array(bands_, pa.binary())).append_column("ngrams", pa.array(grams, pa.binary()))
                 yield from part.to_batches()
 
+    def pairs(key: tuple, table: pa.Table) -> pa.Table:
+        out = _pairs_of(key, table, threshold)
+        if table.nbytes > LARGE:
+            tidy()
+        return out
+
     same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark"))
     met = df.select("doc_id", _mark().alias("mark"), "text").join(chosen, same).dropDuplicates(["set_id"]).select("set_id", "copies", "places", "bands", "text")
     sets = met.mapInArrow(sets_of, "set_id binary, copies long, places array<struct<band:int,hash:long,blocks:long>>, bands binary, ngrams binary")
     dealt = sets.select("*", F.explode("places").alias("at")).withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(SEED)), F.col("at.blocks")))
     dealt = dealt.select("set_id", "copies", "bands", "ngrams", "block", "at.band", "at.hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("at.blocks") - 1)).alias("other"))
     groups = dealt.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other").groupBy("band", "hash", "one", "two")
-    found = settled(groups.applyInArrow(lambda key, table: _pairs_of(key, table, threshold), "set_id binary, other binary, links long"), "links")
+    found = settled(groups.applyInArrow(pairs, "set_id binary, other binary, links long"), "links")
     classes = components(settled(found.where("other IS NOT NULL").select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct(), "edges"))
     links = found.where("links > 0").groupBy(F.col("set_id").alias("_set")).agg(F.sum("links").alias("links"))
     order = F.struct(F.col("rep").isNull().alias("late"), "rep", "node")
